@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, quality, secrets
+from . import pii, quality, secrets, simhash
 from .common import table
 
 
@@ -24,8 +24,13 @@ def op4_secret_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op10_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_crf, op3_quality_llr, op4_secret_structure)}
+    return {f.__name__: f for f in (op1_pii_crf, op3_quality_llr, op4_secret_structure, op10_simhash_covering)}
 
 
 def oracle_sql() -> dict[str, str]:
