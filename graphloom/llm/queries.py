@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, pii, quality, secrets, simhash
+from . import decontaminate, linededup, pii, quality, secrets, sharding, simhash
 from .common import table
 
 
@@ -24,19 +24,28 @@ def op4_secret_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_decontaminate_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.match(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op8_shard_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_crf, op3_quality_llr, op4_secret_structure, op6_decontaminate_suffix, op10_simhash_covering)}
+    return {f.__name__: f for f in (op1_pii_crf, op3_quality_llr, op4_secret_structure, op5_line_dedup_runs, op6_decontaminate_suffix, op8_shard_histogram, op10_simhash_covering)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontaminate_suffix": decontaminate.ORACLE_SQL}
+    return {"op5_line_dedup_runs": linededup.ORACLE_SQL, "op6_decontaminate_suffix": decontaminate.ORACLE_SQL}
