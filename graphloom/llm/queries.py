@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, pii, quality, secrets, sharding, simhash
+from . import decontaminate, linededup, mixing, pii, quality, secrets, sharding, simhash
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op2_mix_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.draw(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("llr", 6).alias("llr"))
@@ -44,8 +48,8 @@ def op10_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_crf, op3_quality_llr, op4_secret_structure, op5_line_dedup_runs, op6_decontaminate_suffix, op8_shard_histogram, op10_simhash_covering)}
+    return {f.__name__: f for f in (op1_pii_crf, op2_mix_temperature, op3_quality_llr, op4_secret_structure, op5_line_dedup_runs, op6_decontaminate_suffix, op8_shard_histogram, op10_simhash_covering)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup_runs": linededup.ORACLE_SQL, "op6_decontaminate_suffix": decontaminate.ORACLE_SQL}
+    return {"op2_mix_temperature": mixing.ORACLE_SQL, "op5_line_dedup_runs": linededup.ORACLE_SQL, "op6_decontaminate_suffix": decontaminate.ORACLE_SQL}
