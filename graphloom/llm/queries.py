@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, mixing, pii, quality, secrets, sharding, simhash
+from . import decontaminate, linededup, lmscore, mixing, pii, quality, secrets, sharding, simhash
 from .common import table
 
 
@@ -42,13 +42,18 @@ def op8_shard_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lmscore.score(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_tokens", F.round("pll", 2).alias("pll"), F.round("pll_mean", 4).alias("pll_mean"))
+
+
 def op10_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_crf, op2_mix_temperature, op3_quality_llr, op4_secret_structure, op5_line_dedup_runs, op6_decontaminate_suffix, op8_shard_histogram, op10_simhash_covering)}
+    return {f.__name__: f for f in (op1_pii_crf, op2_mix_temperature, op3_quality_llr, op4_secret_structure, op5_line_dedup_runs, op6_decontaminate_suffix, op8_shard_histogram, op9_lm_pseudo_likelihood, op10_simhash_covering)}
 
 
 def oracle_sql() -> dict[str, str]:
