@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, lmscore, mixing, pii, quality, secrets, sharding, simhash
+from . import decontaminate, linededup, lmscore, mixing, pii, quality, secrets, sharding, simhash, substrings
 from .common import table
 
 
@@ -38,6 +38,11 @@ def op6_decontaminate_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op7_suffix_dedup_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_shard_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
@@ -53,7 +58,7 @@ def op10_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_crf, op2_mix_temperature, op3_quality_llr, op4_secret_structure, op5_line_dedup_runs, op6_decontaminate_suffix, op8_shard_histogram, op9_lm_pseudo_likelihood, op10_simhash_covering)}
+    return {f.__name__: f for f in (op1_pii_crf, op2_mix_temperature, op3_quality_llr, op4_secret_structure, op5_line_dedup_runs, op6_decontaminate_suffix, op7_suffix_dedup_levels, op8_shard_histogram, op9_lm_pseudo_likelihood, op10_simhash_covering)}
 
 
 def oracle_sql() -> dict[str, str]:
