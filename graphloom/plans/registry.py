@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import codecs, sub_blocks
 from ..functions import integers as I  # noqa: N812
-from ..functions import sub_blocks
 from ..graph import Graph
 from ..operators import clustering, metrics, moves, refinement, select, transforms, traversal
-from ..session import checkpointed
-from ..sources import tables
+from ..session import checkpointed, shared_dir
+from ..sources import files, tables
+from .presets import Scheme
 
 K = 4
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -468,6 +470,60 @@ def refine_proposals(spark, sf):
     return refinement.proposals(g, p, refinement.rooms(g, p, lim, K))
 
 
+def partitioned(graph: Graph, scheme: str, **changes) -> DataFrame:
+    from ..api import Partitioner
+    from .presets import preset
+
+    context = preset("default").override("scheme", Scheme(scheme)).override("coarsening.contraction_limit", 64)
+    for key, value in changes.items():
+        context = context.override(key, value)
+    return Partitioner(graph.nodes.sparkSession, context).set_graph(graph).compute_partition(K, 0.03)
+
+
+@query()
+def partition_deep(spark, sf):
+    return partitioned(tables.supplier_part(spark, sf).checkpointed(), "deep")
+
+
+@query()
+def partition_kway(spark, sf):
+    return partitioned(tables.customer_supplier(spark, sf).checkpointed(), "kway")
+
+
+@query()
+def partition_rb(spark, sf):
+    return partitioned(tables.copurchase(spark, sf).checkpointed(), "rb")
+
+
+@query()
+def partition_vcycle(spark, sf):
+    return partitioned(tables.supplier_part(spark, sf).checkpointed(), "vcycle")
+
+
+@query()
+def partition_frames(spark, sf):
+    """The DataFrame tier: two levels of it at least, whatever the size."""
+    g = tables.copurchase(spark, sf).checkpointed()
+    return partitioned(g, "deep", local_edges=max(g.m() // 4, 1000))
+
+
+@query(sql(SUPP, select="SELECT id, weight, list(dst ORDER BY dst) AS adjacency FROM nodes LEFT JOIN (SELECT src, dst FROM edges) ON src = id GROUP BY 1, 2").replace("list(dst ORDER BY dst) AS adjacency", "string_agg(CAST(dst AS VARCHAR), ' ' ORDER BY dst) AS adjacency"))
+def codec_roundtrip(spark, sf):
+    """Neighbourhoods through the byte codec and back."""
+    g = tables.supplier_part(spark, sf)
+    lists = g.edges.groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("adj"))
+    out = g.nodes.join(lists, F.col("id") == F.col("src")).withColumn("bytes", codecs.encode_column("id", "adj"))
+    return out.select("id", "weight", F.array_join(F.transform(codecs.decode_column("id", "bytes"), lambda x: x.cast("string")), " ").alias("adjacency"))
+
+
+@query(sql(SUPP, select="SELECT * FROM edges"))
+def metis_roundtrip(spark, sf):
+    """The graph written as METIS text and read again."""
+    path = f"{shared_dir(spark)}/metis-{uuid.uuid4().hex}"
+    files.write_metis(tables.supplier_part(spark, sf).checkpointed(), path)
+    return files.read_metis(spark, path).edges
+
+
 @query()
 def clusters_lp(spark, sf):
     g = tables.supplier_part(spark, sf).checkpointed()
