@@ -50,7 +50,7 @@ def move(clusters: DataFrame, moves: DataFrame) -> DataFrame:
 
 def lp_round(graph: Graph, clusters: DataFrame, max_weight: int, edges: DataFrame | None = None, seed: int = 0) -> DataFrame:
     """The moves that one superstep lets through."""
-    p = proposals(graph, clusters, max_weight, edges)
+    p = checkpointed(proposals(graph, clusters, max_weight, edges))
     rooms = cluster_weights(graph, clusters).select(F.col("cluster").alias("to"), (F.lit(max_weight) - F.col("cluster_weight")).alias("room"))
     return admit(p, rooms, seed=seed)
 

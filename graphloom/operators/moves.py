@@ -1,8 +1,8 @@
 """Admission of proposed moves: which of them a capacity lets through, without sorting a target's proposals in one task.
 
-Proposals are ranked by (gain downwards, bucket, id), bucket being a hash of the id. First the weights per (target, gain, bucket) are
-summed, with a partial sum for each task, and the running sums of this histogram tell which groups pass whole. Only the one group per
-target in which the capacity ends is ranked row by row.
+Proposals are ranked by (gain downwards, bucket, id), bucket being a hash of the id. The weights per (target, gain, bucket) are summed
+first, with a partial sum for each task; running sums over this histogram say what comes before each bucket, and rows are ranked only
+inside theirs. The moves are read twice, so callers materialise them.
 """
 
 from __future__ import annotations
@@ -28,27 +28,23 @@ def running(moves: DataFrame, group: str, rank: str = "gain", seed: int = 0) ->
     return cells.join(h, [group, rank, "cell"])
 
 
-def ranked_in_cell(rows: DataFrame, group: str, rank: str) -> Column:
-    run = Window.partitionBy(group, rank, "cell").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return F.col("group_before") + F.sum("weight").over(run)
+def ranked(moves: DataFrame, group: str, rank: str, seed: int) -> DataFrame:
+    """moves with ``upto``, the running weight of their group: what comes before their cell plus the running weight inside it.
+
+    A cell is one gain and one hash bucket of one group, so no task ranks a whole group.
+    """
+    inside = Window.partitionBy(group, rank, "cell").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return running(moves, group, rank, seed).withColumn("upto", F.col("group_before") + F.sum("weight").over(inside))
 
 
 def admit(moves: DataFrame, rooms: DataFrame, group: str = "to", rank: str = "gain", seed: int = 0) -> DataFrame:
     """ADMIT: the moves (id, to, gain, weight, ...) whose running weight per target stays within ``room``. rooms: (to, room)."""
-    r = running(moves, group, rank, seed).join(rooms, group)
-    whole = r.filter(F.col("group_upto") <= F.col("room"))
-    edge = r.filter((F.col("group_before") < F.col("room")) & (F.col("group_upto") > F.col("room")))
-    part = edge.withColumn("upto", ranked_in_cell(edge, group, rank)).filter(F.col("upto") <= F.col("room"))
-    return whole.select(*moves.columns).unionByName(part.select(*moves.columns))
+    return ranked(moves, group, rank, seed).join(rooms, group).filter(F.col("upto") <= F.col("room")).select(*moves.columns)
 
 
 def cover(moves: DataFrame, needs: DataFrame, group: str = "from", rank: str = "gain", seed: int = 0) -> DataFrame:
     """The smallest prefix per source that covers its ``need``: moves whose running weight before them is below it. needs: (from, need)."""
-    r = running(moves, group, rank, seed).join(needs, group)
-    whole = r.filter(F.col("group_upto") <= F.col("need"))
-    edge = r.filter((F.col("group_before") < F.col("need")) & (F.col("group_upto") > F.col("need")))
-    part = edge.withColumn("upto", ranked_in_cell(edge, group, rank)).filter(F.col("upto") - F.col("weight") < F.col("need"))
-    return whole.select(*moves.columns).unionByName(part.select(*moves.columns))
+    return ranked(moves, group, rank, seed).join(needs, group).filter(F.col("upto") - F.col("weight") < F.col("need")).select(*moves.columns)
 
 
 def best_n(moves: DataFrame, n: int, group: str = "from", rank: str = "gain") -> DataFrame:

@@ -18,8 +18,8 @@ def moved(partition: DataFrame, moves: DataFrame) -> DataFrame:
 
 
 def rooms(graph: Graph, partition: DataFrame, block_limits: DataFrame, k: int) -> DataFrame:
-    """(block, weight, min_weight, max_weight): k rows."""
-    return block_weights(graph, partition, k).join(block_limits, "block")
+    """(block, weight, min_weight, max_weight): k rows, computed once."""
+    return checkpointed(block_weights(graph, partition, k).join(block_limits, "block"))
 
 
 def proposals(graph: Graph, partition: DataFrame, state: DataFrame, edges: DataFrame | None = None) -> DataFrame:
@@ -44,7 +44,7 @@ def lp_refine_round(graph: Graph, partition: DataFrame, block_limits: DataFrame,
     p = proposals(graph, partition, state, edges)
     room = state.select(F.col("block").alias("to"), F.greatest(F.col("max_weight") - F.col("weight"), F.lit(0)).alias("room"))
     slack = state.select(F.col("block").alias("from"), (F.col("weight") - F.col("min_weight")).alias("room"))
-    return admit(admit(p, F.broadcast(room)), F.broadcast(slack), group="from")
+    return admit(checkpointed(admit(checkpointed(p), F.broadcast(room))), F.broadcast(slack), group="from")
 
 
 def lp_refine(graph: Graph, partition: DataFrame, block_limits: DataFrame, k: int, rounds: int = 5, chunks: int = 2, seed: int = 0) -> DataFrame:
@@ -86,8 +86,8 @@ def overload_moves(graph: Graph, partition: DataFrame, block_limits: DataFrame,
     spare = F.get("light", (scrambled(F.col("id"), seed) % F.greatest(F.size("light"), F.lit(1))).cast("int"))
     absolute = F.coalesce("conn", F.lit(0)) - F.coalesce("here", F.lit(0))
     x = x.withColumn("to", F.coalesce("adjacent", spare)).filter("to is not null").withColumn("gain", relative_gain(absolute, F.col("weight")))
-    x = x.select("id", "from", "to", "gain", "weight")
-    chosen = cover(x, F.broadcast(need), group="from", seed=seed)
+    x = checkpointed(x.select("id", "from", "to", "gain", "weight"))
+    chosen = checkpointed(cover(x, F.broadcast(need), group="from", seed=seed))
     return admit(chosen, F.broadcast(room), seed=seed)
 
 
@@ -109,9 +109,9 @@ def underload_moves(graph: Graph, partition: DataFrame, block_limits: DataFrame,
     g = gains(graph.edges, partition).join(graph.nodes, "id").join(F.broadcast(need), "to").join(F.broadcast(spare), "from").filter("weight <= room and weight <= slack")
     g = g.withColumn("gain", relative_gain(F.col("gain"), F.col("weight")))
     best = F.max_by(F.struct("from", "to", "gain", "weight"), F.struct("gain", -F.col("to"))).alias("b")
-    x = g.groupBy("id").agg(best).select("id", "b.*")
-    wanted = cover(x, F.broadcast(need.select("to", "need")), group="to")
-    fit = admit(wanted, F.broadcast(need.select("to", "room")))
+    x = checkpointed(g.groupBy("id").agg(best).select("id", "b.*"))
+    wanted = checkpointed(cover(x, F.broadcast(need.select("to", "need")), group="to"))
+    fit = checkpointed(admit(wanted, F.broadcast(need.select("to", "room"))))
     return admit(fit, F.broadcast(spare.select("from", F.col("slack").alias("room"))), group="from")
 
 

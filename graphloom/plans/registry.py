@@ -396,7 +396,7 @@ MV = f"""mv AS (SELECT id, "from", "to", gain, 1 + id % 3 AS weight FROM best),
 
 def weighted_moves(spark, sf):
     g = tables.supplier_part(spark, sf).checkpointed()
-    return metrics.best_moves(g.edges, mod(g)).withColumn("weight", 1 + F.col("id") % 3), spark
+    return checkpointed(metrics.best_moves(g.edges, mod(g)).withColumn("weight", 1 + F.col("id") % 3)), spark
 
 
 @query(sql(SUPP, CUTS, CONN, GAIN, BEST, MV, select='SELECT id, "from", "to", gain, weight FROM rk WHERE upto <= 40 + "to"'))
