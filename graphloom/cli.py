@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import sys
 
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .api import Partitioner
@@ -57,7 +58,7 @@ def main(argv: list[str] | None = None) -> int:
     if a.dump_config:
         print(context)
         return 0
-    spark = session()
+    spark = SparkSession.getActiveSession() or session()
     g = files.read_graph(spark, a.graph, a.format)
     if a.ignore_node_weights or a.ignore_edge_weights:
         g = g.unweighted(a.ignore_node_weights, a.ignore_edge_weights)
