@@ -11,8 +11,8 @@ then the batch becomes a run of level 0, and two runs of a level merge into one
 a scan or merge doesn't move the existing levels.
 
 For the repeated grams only, entries are looked at again. Equal segs repeat whole. Where a gram has several segs, the windows they share
-are found from the bytes around it: up to ``GROUP`` segs are compared by the longest match on both sides, more are compared by the
-digests of their windows, so that no group is gathered in one place and no pair is emitted. Digests have 128 bits, grams and segs 64 each.
+are found from the bytes around it: up to ``GROUP`` segs are compared by the longest match on both sides, more are compared by digests of
+blocks of windows, then of windows, so that no group is gathered in one place and no pair is emitted. Digests have 128 bits, grams and segs 64 each.
 
 Defined results: null and empty texts have no bytes; repeated rows repeat one another; texts shorter than ``length`` lose nothing; a null
 doc_id is a document like any other; an empty table gives no rows; other columns are ignored. Removal may part a character: what is
@@ -36,6 +36,7 @@ from .common import pieces, shared_dir, written
 
 LENGTH, GRAM = 200, 64
 BATCHES, GROUP = 4, 64
+BLOCK = 16
 BASE = 0x9E3779B97F4A7C15
 MIX1, MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 LOW = np.uint64(0xFFFFFFFF)
@@ -256,19 +257,50 @@ def compared(segs: DataFrame, length: int) -> DataFrame:
 
 
 def digested(segs: DataFrame, length: int) -> DataFrame:
-    """(key, seg, runs) by the digests of all windows: for keys with many segs; a seg has no window twice."""
+    """(key, seg, runs) for keys with many segs, in two steps; a seg has no window twice.
 
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Windows are taken by blocks of BLOCK offsets of the gram in them. A block whose bytes another seg has whole is done. Where only the
+    bytes that all of its windows share are found elsewhere too, the block's windows are compared one by one, one seg for each distinct
+    block; where not even those are, no window of the block is shared.
+    """
+
+    def spans(c: int, m: int) -> Iterator[tuple[int, int, int]]:
+        """(block, first window, end) of a seg's c windows, the first of which has its gram at m."""
+        for j in range((m - c + 1) // BLOCK, m // BLOCK + 1):
+            yield j, max(m - BLOCK * j - BLOCK + 1, 0), min(m - BLOCK * j + 1, c)
+
+    def whole(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            rows = []
+            for key, seg, c, m, data in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                for j, a, b in spans(c, m):
+                    mark = (m - a).to_bytes(2, "little") + (b - a).to_bytes(2, "little")
+                    common = data[m - BLOCK * j : m - BLOCK * j - BLOCK + 1 + length]
+                    u1, u2 = np.frombuffer(xxhash.xxh3_128_digest(mark + data[a : b + length - 1]), "<i8").tolist()
+                    rows.append((key, seg, j, a, b, u1, u2, int(np.uint64(xxhash.xxh3_64_intdigest(common)).view(np.int64))))
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            cols = list(zip(*rows, strict=True)) or [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=["key", "seg", "j", "a", "b", "u1", "u2", "x"])
+
+    blocks = written(segs.select("key", "seg", "c", "m", "bytes").mapInArrow(whole, "key long, seg long, j int, a int, b int, u1 long, u2 long, x long"), "window-blocks")
+    same = written(blocks.groupBy("key", "j", "u1", "u2", "x").agg(F.count("*").alias("n"), F.min("seg").alias("seg")), "distinct-blocks")
+    full = blocks.join(same.filter("n > 1").select("key", "j", "u1", "u2"), ["key", "j", "u1", "u2"], "left_semi").select("key", "seg", F.struct("a", "b").alias("run"))
+    several = same.groupBy("key", "j", "x").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("key", "j", "x")
+    open_ = same.join(several, ["key", "j", "x"], "left_semi").groupBy("key", "seg").agg(F.collect_list("j").alias("js"))
+
+    def single(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            for key, seg, c, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[i : i + length]) for i in range(c)), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(c, key)), pa.array(np.full(c, seg)), pa.array(np.arange(c, dtype=np.int32)), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], names=["key", "seg", "i", "h1", "h2"])
+            for key, seg, c, m, data, js in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                at = np.array([i for j, a, b in spans(c, m) if j in set(js) for i in range(a, b)], np.int32)
+                h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[i : i + length]) for i in at.tolist()), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), key)), pa.array(np.full(len(at), seg)), pa.array(at), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], names=["key", "seg", "i", "h1", "h2"])
 
-    windows = written(segs.select("key", "seg", "c", "bytes").mapInArrow(run, "key long, seg long, i int, h1 long, h2 long"), "windows")
+    wanted = segs.join(open_, ["key", "seg"]).select("key", "seg", "c", "m", "bytes", "js")
+    windows = written(wanted.mapInArrow(single, "key long, seg long, i int, h1 long, h2 long"), "windows")
     twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
     hit = windows.join(twice, ["h1", "h2"], "left_semi")
-    one = F.struct(F.col("i").alias("a"), (F.col("i") + 1).alias("b"))
-    return hit.groupBy("key", "seg").agg(F.collect_list(one).alias("runs"))
+    one = hit.select("key", "seg", F.struct(F.col("i").alias("a"), (F.col("i") + 1).alias("b")).alias("run"))
+    return full.unionByName(one).groupBy("key", "seg").agg(F.collect_list("run").alias("runs"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES, group: int = GROUP) -> DataFrame:
