@@ -37,6 +37,7 @@ from .common import pieces, shared_dir, written
 LENGTH, GRAM = 200, 64
 BATCHES, GROUP = 4, 64
 BLOCK = 16
+PIECE_BYTES = 1 << 20  # a dozen arrays of 8 bytes for each byte of a piece live at once
 BASE = 0x9E3779B97F4A7C15
 MIX1, MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 LOW = np.uint64(0xFFFFFFFF)
@@ -115,7 +116,7 @@ def suffix_entries(docs: DataFrame, batches: int, length: int) -> DataFrame:
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
-        for piece in pieces(source):
+        for piece in pieces(source, limit=PIECE_BYTES):
             texts = [t or b"" for t in piece.column(1).cast(pa.binary()).to_pylist()]
             sizes = np.array([len(t) for t in texts], np.int64)
             text, p, c, m, key, seg = entries(b"".join(texts), np.cumsum(sizes) - sizes, sizes, grams, length)
@@ -136,8 +137,8 @@ def release(spark: SparkSession) -> None:
 class SuffixLevels:
     """The family of runs (key, n, seg, several), each sorted and bucketed by key; ``found`` holds the repeated keys."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 2, buckets: int | None = None):
-        self.spark, self.fanout = spark, fanout
+    def __init__(self, spark: SparkSession, buckets: int | None = None):
+        self.spark = spark
         self.buckets = buckets or min(int(spark.conf.get("spark.sql.shuffle.partitions")), 8192)
         self.levels: list[list[str]] = []
         self.found: list[DataFrame] = []
@@ -166,11 +167,14 @@ class SuffixLevels:
         if level == len(self.levels):
             self.levels.append([])
         self.levels[level].append(run)
-        if len(self.levels[level]) == self.fanout:
+        if len(self.levels[level]) == 2:
             old, self.levels[level] = self.levels[level], []
-            parts = reduce(DataFrame.unionByName, (self.spark.table(n) for n in old))
-            merged = parts.groupBy("key").agg(F.sum("n").alias("n"), F.min("seg").alias("seg"), (F.max("several") | (F.min("seg") != F.max("seg"))).alias("several"))
-            self._put(self._write(merged), level + 1)
+            a, b = (self.spark.table(n).select("key", *(F.col(c).alias(f"{c}{i}") for c in ("n", "seg", "several"))) for i, n in enumerate(old))
+            differ = F.coalesce(F.col("seg0") != F.col("seg1"), F.lit(False))
+            both = a.hint("merge").join(b, "key", "full_outer")
+            n = F.coalesce("n0", F.lit(0)) + F.coalesce("n1", F.lit(0))
+            several = F.coalesce("several0", F.lit(False)) | F.coalesce("several1", F.lit(False)) | differ
+            self._put(self._write(both.select("key", n.alias("n"), F.coalesce("seg0", "seg1").alias("seg"), several.alias("several"))), level + 1)
             for n in old:
                 self.spark.sql(f"DROP TABLE {n}")
 
@@ -229,7 +233,7 @@ def fetched(docs: DataFrame, segs: DataFrame, length: int) -> DataFrame:
     joined = docs.join(wanted, ROW).select("text", "want")
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(source):
+        for piece in pieces(source, limit=PIECE_BYTES):
             rows = [(w["key"], w["seg"], w["c"], w["m"], t[w["p"] : w["p"] + w["c"] + length - 1]) for t, want in zip(piece.column(0).cast(pa.binary()).to_pylist(), piece.column(1).to_pylist(), strict=True) for w in want]
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.binary()), strict=True)], names=["key", "seg", "c", "m", "bytes"])
@@ -353,7 +357,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
     joined = keyed(docs).join(spans, ROW, "left").select("doc_id", "text", F.col("spans.a").alias("a"), F.col("spans.b").alias("b"))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(source):
+        for piece in pieces(source, limit=PIECE_BYTES):
             texts = [t or b"" for t in piece.column(1).cast(pa.binary()).to_pylist()]
             spans = [list(zip(a, b, strict=True)) if a else [] for a, b in zip(piece.column(2).to_pylist(), piece.column(3).to_pylist(), strict=True)]
             left = [cut(t, s) for t, s in zip(texts, spans, strict=True)]
