@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Bytes of text that one numpy pass takes at most; a longer text is a piece of its own.
 PIECE_BYTES = 4 << 20
@@ -33,7 +34,8 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    schema = StructType([f for f in df.schema if f.name not in partition_by] + [df.schema[c] for c in partition_by])
+    return spark.read.schema(schema).parquet(path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
