@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, pieces
@@ -74,12 +74,12 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def tables(rows: DataFrame, mask: Column, masks_of: dict[int, list[int]], radius: int) -> DataFrame:
-    """Each row once for each further mask of its bucket: mask grows by the bits of the new cover."""
-    options = F.lit(None).cast("array<bigint>")
-    for have, more in masks_of.items():
-        options = F.when(mask == signed(have), F.array(*(F.lit(signed(have | m)) for m in more))).otherwise(options)
-    return rows.select("fp", F.explode(options).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+def tables(rows: DataFrame, masks: dict[int, list[int]]) -> DataFrame:
+    """(fp, mask, key): each row (fp, mask) once for each further mask of its bucket: mask grows by the bits of the new cover."""
+    more = [(signed(have), [signed(have | m) for m in cover]) for have, cover in masks.items()]  # 343 entries at most for radius 2
+    options = F.broadcast(rows.sparkSession.createDataFrame(more, "mask long, masks array<bigint>"))
+    out = rows.join(options, "mask").select("fp", F.explode("masks").alias("mask"))
+    return out.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
 
 
 def links(fps: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
@@ -87,13 +87,14 @@ def links(fps: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
     full = (1 << 64) - 1
     masks = {0: covering(full, radius)}
     found = None
-    rows = fps.select("fp")
+    rows = fps.select("fp", F.lit(0).cast("long").alias("mask"))
     while True:
-        rows = tables(rows, F.col("mask") if found is not None else F.lit(0), masks, radius)
+        rows = tables(rows, masks)
         sizes = rows.groupBy("mask", "key").agg(F.count("*").alias("n")).filter("n > 1")
         kept = sorted({h | m for h, more in masks.items() for m in more})
-        # buckets that can't be large: a mask leaves free bits, and a bucket holds one fingerprint for each setting of them at most
-        last = [m for m in kept if 1 << (64 - m.bit_count()) <= bucket]
+        # buckets that can't be large: a mask leaves free bits, and a bucket holds one fingerprint for each setting of them at most;
+        # six free bits always end it, as fewer can't be covered much further
+        last = [m for m in kept if 1 << (64 - m.bit_count()) <= max(bucket, BUCKET)]
         small = (F.col("n") <= bucket) | F.col("mask").isin([signed(m) for m in last])
         tagged = rows.join(sizes.withColumn("small", small), ["mask", "key"])
         tagged = checkpointed(tagged)
