@@ -14,6 +14,7 @@ input are ignored. Base spans are always kept; a span of the field that overlaps
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -301,26 +302,16 @@ def chains_of(text: str) -> list[list[tuple[int, int]]]:
     triggers = [m.start() for m in TRIGGER.finditer(text)]
     if not triggers:
         return []
-    out: list[list[tuple[int, int]]] = []
-    tokens: list[tuple[int, int]] = []
-    k = 0
-    last = -REACH - 1
-    for i, m in enumerate(TOKEN.finditer(text)):
-        tokens.append(m.span())
-        while k < len(triggers) and triggers[k] < m.start():
-            k += 1
-        if k < len(triggers) and triggers[k] < m.end():
-            first = max(i - REACH, 0)
-            if out and first <= last + REACH + 1:
-                out[-1] += tokens[last + REACH + 1 : i + 1] if i > last + REACH else []
-            else:
-                out.append(tokens[first : i + 1])
-            last = i
-        elif out and i <= last + REACH:
-            out[-1].append(m.span())
-        elif k == len(triggers):
-            break
-    return out
+    tokens = [m.span() for m in TOKEN.finditer(text)]
+    starts = [start for start, _ in tokens]
+    bounds: list[list[int]] = []
+    for i in sorted({bisect_right(starts, t) - 1 for t in triggers}):
+        low, high = max(i - REACH, 0), min(i + REACH + 1, len(tokens))
+        if bounds and low <= bounds[-1][1]:
+            bounds[-1][1] = high
+        else:
+            bounds.append([low, high])
+    return [tokens[low:high] for low, high in bounds]
 
 
 EDGE = ".,;!?\"'"
