@@ -13,7 +13,7 @@ from ..functions import integers as I  # noqa: N812
 from ..graph import Graph
 from ..operators import clustering, metrics, moves, refinement, select, transforms, traversal
 from ..session import checkpointed, shared_dir
-from ..sources import files, tables
+from ..sources import files, generators, tables
 from .presets import Scheme
 
 K = 4
@@ -524,6 +524,52 @@ def metis_roundtrip(spark, sf):
     return files.read_metis(spark, path).edges
 
 
+@query("SELECT i * 20 + j AS src, i * 20 + j + d AS dst, CAST(1 AS BIGINT) AS weight FROM range(10) a(i), range(20) b(j), (VALUES (1), (-1), (20), (-20)) c(d) WHERE (d = 1 AND j < 19) OR (d = -1 AND j > 0) OR (d = 20 AND i < 9) OR (d = -20 AND i > 0)")
+def generated_grid(spark, sf):
+    return generators.grid(spark, 10, 20).edges
+
+
+@query(sql(SUPP, "u AS (SELECT src, dst, weight FROM half UNION ALL SELECT src, dst, weight FROM half WHERE src % 2 = 0 UNION ALL SELECT dst, src, weight FROM half)", "b AS (SELECT * FROM u UNION ALL SELECT dst, src, weight FROM u)", select="SELECT src, dst, CAST(sum(weight) AS BIGINT) AS weight FROM b GROUP BY 1, 2"))
+def undirected_union(spark, sf):
+    """Edge lists in both directions with repeats, made into a graph."""
+    half = tables.supplier_part(spark, sf).edges.filter(F.col("src") < F.col("dst"))
+    turned = half.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    return Graph.from_edges(half.unionByName(half.filter("src % 2 = 0")).unionByName(turned)).edges
+
+
+@query(sql(SUPP, THIN, COMP, "s AS (SELECT component, count(*) AS size FROM comp GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)", "k AS (SELECT id, CAST(row_number() OVER (ORDER BY id) - 1 AS BIGINT) AS new_id FROM comp JOIN s USING (component))", select="SELECT u.new_id AS src, v.new_id AS dst FROM thin JOIN k u ON u.id = src JOIN k v ON v.id = dst"))
+def largest_component(spark, sf):
+    return traversal.largest_component(thin(spark, sf).checkpointed())[0].edges.select("src", "dst")
+
+
+@query(sql(SUPP, select="SELECT CAST(b AS INTEGER) AS block, count(id) AS size FROM range(6) t(b) LEFT JOIN part ON block = b GROUP BY 1"))
+def partition_block_sizes(spark, sf):
+    return transforms.block_sizes(spark, mod(tables.supplier_part(spark, sf)), 6)
+
+
+@query(sql(SUPP, BROKEN, select="SELECT * FROM (SELECT 'edge without its reverse' AS problem, count(*) AS n FROM broken b WHERE NOT EXISTS (SELECT 1 FROM broken r WHERE r.src = b.dst AND r.dst = b.src AND r.weight = b.weight) UNION ALL SELECT 'repeated edge', count(*) FROM (SELECT 1 FROM broken GROUP BY src, dst HAVING count(*) > 1)) WHERE n > 0"))
+def validate_graph(spark, sf):
+    g = tables.supplier_part(spark, sf)
+    return select.invalid(Graph(g.nodes, broken(g)))
+
+
+@query(sql(SUPP, "walk(id, hop) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT dst, hop + 1 FROM walk JOIN edges ON src = id WHERE hop < 1)", "ins AS (SELECT DISTINCT id FROM walk)", "e AS (SELECT src, CASE WHEN i.id IS NULL THEN -1 - block ELSE dst END AS dst, weight FROM edges JOIN ins o ON o.id = src LEFT JOIN ins i ON i.id = dst JOIN part ON part.id = dst)", "k AS (SELECT src, dst, CAST(sum(weight) AS BIGINT) AS weight FROM e GROUP BY 1, 2)", select="SELECT * FROM k UNION ALL SELECT dst, src, weight FROM k WHERE dst < 0"))
+def contracted_ball(spark, sf):
+    """Everything within one hop of node 0; the rest of each block is one pseudo-node."""
+    g = tables.supplier_part(spark, sf).checkpointed()
+    return traversal.ball(g, g.nodes.filter("id = 0"), 1, mod(g), "contract").edges
+
+
+@query(sql(SUPP, CUTS, CONN, GAIN, select="""SELECT id, "to", CASE WHEN gain > 0 THEN -1 WHEN gain = 0 THEN 0 ELSE CAST(length(bin(1 - gain)) - 1 + CAST(1 - gain > 1 << (length(bin(1 - gain)) - 1) AS INT) AS BIGINT) END AS bucket FROM gains"""))
+def loss_buckets(spark, sf):
+    """Moves by the size of their loss: 0 for none, then by powers of two, exactly."""
+    g = tables.supplier_part(spark, sf)
+    loss = F.lit(1) - F.col("gain")
+    up = I.floor_log2_column(loss)
+    bucket = F.when(F.col("gain") > 0, F.lit(-1)).when(F.col("gain") == 0, F.lit(0)).otherwise(up + (loss > F.expr("shiftleft(1L, length(bin(1 - gain)) - 1)")).cast("int"))
+    return metrics.gains(g.edges, mod(g)).select("id", "to", bucket.cast("long").alias("bucket"))
+
+
 @query()
 def clusters_lp(spark, sf):
     g = tables.supplier_part(spark, sf).checkpointed()
