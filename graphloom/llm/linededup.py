@@ -118,6 +118,12 @@ class LineRuns:
             known.append(self._merged(names).filter(F.col("n") >= self.least).select(*HASH))
         return reduce(DataFrame.unionByName, known)  # no key is in two of them
 
+    def drop(self) -> None:
+        """Removes the runs; for a caller that keeps no collection beyond one table."""
+        for name in (*self.settled, *(n for level in self.levels for n in level)):
+            self.spark.sql(f"DROP TABLE {name}")
+        self.levels, self.settled = [], []
+
 
 SCHEMA = "doc_id long, text string, n_lines long, n_dropped long"
 
@@ -138,6 +144,7 @@ def dedup_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, batches: int = BA
     for i in range(batches):
         runs.add(keys.filter(F.col("batch") == i).select(*HASH))
     frequent = written(runs.frequent(), "frequent-lines")
+    runs.drop()
     if frequent.count() <= broadcast_keys:
         rows = frequent.toArrow()
         gone = spark.sparkContext.broadcast(np.column_stack([rows.column(c).to_numpy() for c in HASH]).astype("<i8").tobytes())
