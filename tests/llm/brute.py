@@ -75,10 +75,12 @@ def xx(seed: int, *parts: bytes) -> int:
 
 def grams(text, buckets):
     """Bucket numbers as the operator makes them: XXH64 with seed 42, chained over several values."""
-    w = [x.encode() for x in WS.findall(text or "")]
-    ends = [x.decode()[-2:].encode() for x in w]
-    h = [xx(42, x) for x in w] + [xx(42, a, b) for a, b in zip(w, w[1:], strict=False)] + [xx(42, b"end", x) for x in ends]
-    return [signed(x) % buckets for x in h]
+    w = WS.findall(text or "")
+    one = [xx(42, x.encode()) for x in w]
+    pack = lambda x: x.to_bytes(8, "little")
+    two = [xx(42, pack(a), pack(b)) for a, b in zip(one, one[1:], strict=False)]
+    ends = [xx(42, x[-2:].encode()) for x in w]
+    return [signed(x) % buckets for x in (*one, *two, *ends)]
 
 
 def lines(texts, least):
