@@ -44,6 +44,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(docs: DataFrame, rows: int = 1000) -> DataFrame:
+    """docs, with Arrow batches of at most ``rows`` rows from now on: a batch of texts stands in memory several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+    return docs
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds at most ``limit`` bytes of text, or one row."""
     for batch in batches:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, small_batches
 
 WINDOW = 8
 BLOCK_BYTES = 32 << 20
@@ -171,7 +171,7 @@ def pass_over(docs: DataFrame, items: list[tuple], window: int) -> DataFrame:
     state = [f"_s_{x.split()[0]}" for x in STATE.split(", ")]
     names = own + state
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in own] + [f"_s_{x}" for x in STATE.split(", ")])
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def matched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, shared_dir, written
+from .common import pieces, shared_dir, small_batches, written
 
 SPACE = b" \t\n\x0b\x0c\r"
 BROADCAST_KEYS = 1_000_000
@@ -58,7 +58,7 @@ def line_keys(docs: DataFrame, batches: int) -> DataFrame:
             arrays = [np.mod(r1, batches).astype(np.int32), r1, r2, np.ascontiguousarray(h[:, 0]), np.ascontiguousarray(h[:, 1])]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["batch", "r1", "r2", "h1", "h2"])
 
-    return keyed(docs).mapInArrow(run, "batch int, r1 long, r2 long, h1 long, h2 long")
+    return small_batches(keyed(docs)).mapInArrow(run, "batch int, r1 long, r2 long, h1 long, h2 long")
 
 
 class LineRuns:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, written
+from .common import pieces, small_batches, written
 
 OWN, TAILS = 96, 32
 CLASSES = OWN + TAILS
@@ -218,7 +218,7 @@ def restored(data: bytes) -> Vocabulary:
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, pll (sum of the conditional log-probabilities), pll_mean for each row of docs (doc_id, text)."""
-    vocabulary = Vocabulary(*word_counts(docs))
+    vocabulary = Vocabulary(*word_counts(small_batches(docs)))
     weights = train(docs, vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps((dict(vocabulary), vocabulary.size, vocabulary.cls, vocabulary.logw)))
 

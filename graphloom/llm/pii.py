@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pieces, sha256_hex, spans_text
+from .common import pieces, sha256_hex, small_batches, spans_text
 
 KINDS = ("email", "ip", "card", "phone")
 ORDER = {k: i for i, k in enumerate(KINDS)}
@@ -385,4 +385,4 @@ def find_pii(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None
                 names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, SCHEMA)

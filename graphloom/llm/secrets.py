@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pieces, sha256_hex, spans_text
+from .common import pieces, sha256_hex, small_batches, spans_text
 
 KINDS = ("assign", "access", "hex", "jwt", "pem", "der")
 BASE = KINDS[:3]
@@ -178,4 +178,4 @@ def find_secrets(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, SCHEMA)

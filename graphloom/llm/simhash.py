@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, pieces
+from .common import checkpointed, pieces, small_batches
 from .components import components
 
 SEED = 42
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             fps = np.array([fingerprint(t, width) for t in piece.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def covering(free: int, radius: int) -> list[int]:

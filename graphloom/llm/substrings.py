@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, shared_dir, written
+from .common import pieces, shared_dir, small_batches, written
 
 LENGTH, GRAM = 200, 64
 BATCHES, GROUP = 4, 64
@@ -125,7 +125,7 @@ def suffix_entries(docs: DataFrame, batches: int, length: int) -> DataFrame:
                 arrays = (np.mod(r1, batches).astype(np.int32), r1, r2, p, c, m, key, seg)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["batch", "r1", "r2", "p", "c", "m", "key", "seg"])
 
-    return keyed(docs).mapInArrow(run, "batch int, r1 long, r2 long, p int, c short, m short, key long, seg long")
+    return small_batches(keyed(docs)).mapInArrow(run, "batch int, r1 long, r2 long, p int, c short, m short, key long, seg long")
 
 
 def release(spark: SparkSession) -> None:
