@@ -11,7 +11,7 @@ blocks of at most ``BLOCK_BYTES`` of text, each broadcast; the hits of earlier b
 Defined results: a null, empty or blank text has no words, no hits and the digest of no items; an item without words never occurs; an
 item of fewer words than a window is one window; items with one item_id count once; a null item_id is left out of the digest but its
 words hit; empty tables give no rows, an empty benchmark no hits; repeated rows give repeated results; other columns are ignored by
-``match`` and kept by ``drop_contaminated``.
+``match`` and kept by ``drop_contaminated`` and ``drop_affected``.
 """
 
 from __future__ import annotations
@@ -189,11 +189,20 @@ def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_ite
     return found.select("doc_id", F.col("_s_n_words").alias("n_words"), F.size("_s_hits").cast("long").alias("n_hit"), n.alias("n_items"), F.col("_s_items").alias("items"), (n >= least_items).alias("contaminated"), F.col("_s_longest").alias("longest_match"), at.alias("longest_match_at"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_items: int = 2) -> DataFrame:
-    """The rows of docs, with their own columns, that are not contaminated."""
+def rows_found(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """docs as one column ``row``, with text and the _s_ columns."""
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    found = matched(docs.select(row, F.col("text").alias("text")), benchmark, window)
-    return found.filter(F.size("_s_items") < least_items).select("row.*")
+    return matched(docs.select(row, F.col("text").alias("text")), benchmark, window)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_items: int = 2) -> DataFrame:
+    """The rows of docs, with their own columns, that are not contaminated as the query's column says."""
+    return rows_found(docs, benchmark, window).filter(F.size("_s_items") < least_items).select("row.*")
+
+
+def drop_affected(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs, with their own columns, in which no window of any item occurs; items without an id count too."""
+    return rows_found(docs, benchmark, window).filter(F.size("_s_hits") == 0).select("row.*")
 
 
 

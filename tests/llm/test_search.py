@@ -7,6 +7,7 @@ import brute
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from graphloom.llm import decontaminate, pii, secrets
 
 
@@ -130,6 +131,22 @@ def test_decontamination_against_brute_force(spark, docs, rows, empty):
     assert kept.columns == docs.columns and kept.count() == sum("False)" in w for w in want)
 
 
+def test_one_planted_item_is_enough_to_remove(spark):
+    item = "seven red foxes ran over nine cold hills at dawn"
+    bench = spark.createDataFrame([(1, item), (None, item.replace("red", "grey"))], "item_id long, text string")
+    texts = ["plain words only", f"before it {item} after it", item.replace("red", "grey").upper(), "seven red foxes ran over nine cold", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = decontaminate.drop_affected(docs, bench)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 3, 4]
+
+
+def test_the_stage_removes_a_document_with_one_item(spark, tmp_path):
+    item = "seven red foxes ran over nine cold hills at dawn"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(0, "plain words only"), (1, f"before it {item} after it")], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()] == [0]
+
+
 def test_benchmark_in_blocks_gives_the_same(spark, docs, rows, monkeypatch):
     bench = spark.createDataFrame(items(rows), "item_id long, text string")
     cols = ("doc_id", "n_words", "n_hit", "n_items", "items", "contaminated", "longest_match")
