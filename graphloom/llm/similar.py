@@ -1,0 +1,181 @@
+"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands propose pairs, exact similarity decides (pipeline).
+
+A node is a distinct set of shingles (XXH64, seed 42, of ``width`` words; words as in operator 10); rows with one set are copies. Each
+node gets BANDS keys of ROWS minima each. A pair of similarity s shares a key with probability 1 - (1 - s^ROWS)^BANDS, 0.9998 at 0.8;
+that is the only way in which a pair can be missed.
+
+Rows are ordered by doc_id (null last). In each bucket every node is compared with the first one. What is similar to an earlier node
+goes, so a large group of near copies is settled without its pairs. Buckets that still hold more than ``BUCKET`` nodes get new bands
+(more selective ones) inside the bucket, until they are small; in small buckets all pairs are compared. No bucket is capped.
+
+Defined results: no two rows that stay are similar (but for the probability above), and every row that goes is a copy of an earlier row
+or similar to one. Null, empty and blank texts are copies of each other; fewer words than a shingle give one shingle of all the words;
+rows without a doc_id come after all others; of rows equal in doc_id and text any one stays; an empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import accumulate
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import checkpointed, pieces, small_batches, written
+
+SEED, BUCKET = 42, 64
+BANDS, ROWS = 16, 4
+#: Inside crowded buckets: 0.9998 at 0.8 too, but far fewer meetings of pairs below that.
+BANDS_ANEW, ROWS_ANEW = 48, 8
+
+
+def shingles(text: str | None, width: int = 5) -> np.ndarray:
+    """The sorted distinct hashes of the text's shingles."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    line = b" ".join(words)
+    if len(words) <= width:
+        return np.array([xxhash.xxh64_intdigest(line, SEED)], np.uint64)
+    ends = list(accumulate(map(len, words)))  # ends[i] + i: end of word i in line
+    h = xxhash.xxh64_intdigest
+    return np.unique(np.array([h(line[(ends[i - 1] + i if i else 0) : ends[i + width - 1] + i + width - 1], SEED) for i in range(len(words) - width + 1)], np.uint64))
+
+
+def functions(level: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The hash functions' factors and summands, and how many of them make a band."""
+    rng = np.random.default_rng((SEED, level))
+    n, width = (BANDS_ANEW * ROWS_ANEW, ROWS_ANEW) if level else (BANDS * ROWS, ROWS)
+    a, b = (rng.integers(0, 1 << 64, n, np.uint64) for _ in range(2))
+    return a | np.uint64(1), b, width
+
+
+def bands(found: np.ndarray, a: np.ndarray, b: np.ndarray, width: int) -> list[int]:
+    """A signed 64-bit key for each band."""
+    low = np.full(len(a), (1 << 64) - 1, np.uint64)
+    for at in range(0, len(found), 1024):
+        low = np.minimum(low, (found[at : at + 1024, None] * a + b).min(0))
+    keys = [xxhash.xxh64_intdigest(low[i : i + width].tobytes(), i) for i in range(0, len(a), width)]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def named(found: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).view(np.int64))
+
+
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of (doc_id, text)."""
+    return docs.withColumn("_s_key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text"))
+
+
+def signatures(docs: DataFrame, width: int) -> DataFrame:
+    """(node, doc_id, key, bands) of each row."""
+    f = functions(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches):
+            sets = [shingles(t, width) for t in piece.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([named(s) for s in sets], pa.int64()), piece.column(0), piece.column(1), pa.array([bands(s, *f) for s in sets], pa.list_(pa.int64()))], names=["node", "doc_id", "key", "bands"])
+
+    return small_batches(keyed(docs)).select("doc_id", "_s_key", "text").mapInArrow(run, "node long, doc_id long, key long, bands array<bigint>")
+
+
+def sets_of(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
+    """(node, found): the shingles of the rows with these keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches):
+            sets = [shingles(t, width) for t in piece.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([named(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "found"])
+
+    texts = keyed(docs).join(keys.select(F.col("key").alias("_s_key")), "_s_key", "left_semi").select("text")
+    return written(texts.mapInArrow(run, "node long, found binary"), "shingles").dropDuplicates(["node"])
+
+
+def met(rows: DataFrame) -> DataFrame:
+    """The rows (node, key) whose key another row has too."""
+    return rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key", "left_semi").select("node", "key")
+
+
+def anew(rows: DataFrame, sets: DataFrame, level: int) -> DataFrame:
+    """(node, key): each row with the new bands of its node inside its bucket."""
+    f = functions(level)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            more = [bands(np.frombuffer(s, np.uint64), *f) for s in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(more, pa.list_(pa.int64()))], names=["node", "bands"])
+
+    more = sets.join(rows.select("node").distinct(), "node", "left_semi").select("node", "found").mapInArrow(run, "node long, bands array<bigint>")
+    return met(rows.join(more, "node").select("node", "key", F.explode("bands").alias("band")).select("node", F.xxhash64("key", "band").alias("key")))
+
+
+def losers(pairs: DataFrame, sets: DataFrame, order: DataFrame, similarity: float) -> DataFrame:
+    """(node): the later node of each pair (a, b) that is similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, x, y = (batch.column(i).to_pylist() for i in (0, 1, 2, 4))
+            early = zip(batch.column(3).to_pylist(), a, batch.column(5).to_pylist(), b, strict=True)
+            near = [jaccard(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)) >= similarity for s, t in zip(x, y, strict=True)]
+            out = [b_ if (p, a_) < (q, b_) else a_ for (p, a_, q, b_), n in zip(early, near, strict=True) if n]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["node"])
+
+    full = sets.join(order, "node")
+    side = lambda n: full.select(F.col("node").alias(n), F.col("found").alias(f"{n}_found"), F.col("least").alias(f"{n}_least"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_found", "a_least", "b_found", "b_least")
+    return both.mapInArrow(run, "node long").distinct()
+
+
+def crowds(rows: DataFrame, order: DataFrame) -> DataFrame:
+    """(key, n, first) of the buckets with more than one node; first has the least doc_id."""
+    return rows.join(order, "node").groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", "least").alias("first")).filter("n > 1")
+
+
+def pairs_of(rows: DataFrame) -> DataFrame:
+    """(a, b): all pairs of nodes that share a small bucket."""
+    lists = rows.groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("l"))
+    each = lists.select("l", F.posexplode("l").alias("i", "a"))
+    return each.select("a", F.explode(F.slice("l", F.col("i") + 2, F.size("l"))).alias("b")).distinct()
+
+
+def similar_nodes(docs: DataFrame, nodes: DataFrame, width: int, similarity: float, bucket: int = BUCKET) -> DataFrame:
+    """(node): the nodes that are similar to an earlier one."""
+    order = nodes.select("node", "least")
+    rows = nodes.select("node", F.posexplode("bands").alias("i", "band")).select("node", F.xxhash64("i", "band").alias("key"))
+    rows = checkpointed(met(rows))
+    some = nodes.join(rows.select("node").distinct(), "node", "left_semi")
+    order = checkpointed(some.select("node", "least"))
+    sets = sets_of(docs, some.select("key"), width)
+    gone, level = None, 0
+    while not rows.isEmpty():
+        level += 1
+        rest = checkpointed(rows.join(crowds(rows, order), "key").filter("node <> first").select("node", "key", "first"))
+        out = checkpointed(losers(rest.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), sets, order, similarity))
+        rows = rest.select("node", "key").join(out, "node", "left_anti")  # the first node of a bucket is done with it
+        sizes = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+        rows = checkpointed(rows.join(sizes, "key").select("node", "key", "n"))
+        more = losers(pairs_of(rows.filter(F.col("n") <= bucket)), sets, order, similarity)
+        out = checkpointed(out.unionByName(more).distinct())
+        gone = out if gone is None else gone.unionByName(out)
+        big = rows.filter(F.col("n") > bucket).select("node", "key").join(out, "node", "left_anti")
+        rows = checkpointed(anew(big, sets, level)) if not big.isEmpty() else big
+    return gone.distinct() if gone is not None else order.select("node").limit(0)
+
+
+def drop_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, bucket: int = BUCKET) -> DataFrame:
+    """The rows of docs, with their own columns, that are neither a copy of an earlier row nor similar to one."""
+    found = checkpointed(signatures(docs, width))
+    last = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("one")
+    nodes = checkpointed(found.groupBy("node").agg(F.min(last).alias("least"), one, F.any_value("bands").alias("bands")).select("node", "least", F.col("one.key").alias("key"), "bands"))
+    stay = nodes.join(similar_nodes(docs, nodes, width, similarity, bucket), "node", "left_anti").select(F.col("key").alias("_s_key"))
+    return keyed(docs).join(stay, "_s_key", "left_semi").dropDuplicates(["_s_key"]).select(*(F.col(f"`{c}`") for c in docs.columns))
