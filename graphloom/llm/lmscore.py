@@ -5,8 +5,8 @@ each place of the window, one tanh layer, a softmax over the classes) predicts t
 are classes of their own; the others are dealt to classes by their last two characters. P(word | class) comes from word counts over all
 documents; a word beyond the vocabulary counts as one occurrence of its class.
 
-Training is one round of local stochastic gradient steps: every task goes through its own documents from the same start, drawing a seeded
-share of the windows of each piece of text, and the tasks' weights are averaged by their number of windows (in fixed point, so the
+Training is one round of local stochastic gradient steps: every task goes through its own documents from the same start, taking every
+window of each piece of text once, in a seeded order, and the tasks' weights are averaged by their number of windows (in fixed point, so the
 order of the sum doesn't matter). Every document takes part; a task's memory is one piece of text.
 
 Defined results: null, empty and blank texts have 0 tokens, a sum of 0 and a null mean; a single word is predicted from padding alone; an
@@ -33,7 +33,6 @@ OWN, TAILS = 96, 32
 CLASSES = OWN + TAILS
 VOCABULARY = 30_000
 DIM, SIDE = 16, 2
-SHARE = 8  # one window in SHARE is drawn for training
 BATCH, RATE = 2048, 0.08
 SEED = 3
 FIXED = 1 << 20
@@ -179,6 +178,13 @@ class Trainer:
         self.seen += n
 
 
+def learn(trainer: Trainer, padded: np.ndarray, places: np.ndarray, rng: np.random.Generator) -> None:
+    """One step for each BATCH of the windows of all places, in drawn order."""
+    drawn = rng.permutation(places)
+    for at in range(0, len(drawn), BATCH):
+        trainer.step(padded, drawn[at : at + BATCH])
+
+
 def train(docs: DataFrame, vocabulary: Vocabulary) -> list[np.ndarray]:
     spark = docs.sparkSession
     start = start_weights()
@@ -190,9 +196,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> list[np.ndarray]:
             _, padded, places = encode(piece.column(0).cast(pa.binary()).to_pylist(), v)
             if not len(places):
                 continue
-            drawn = rng.choice(places, max(1, len(places) // SHARE), replace=False)
-            for at in range(0, len(drawn), BATCH):
-                trainer.step(padded, drawn[at : at + BATCH])
+            learn(trainer, padded, places, rng)
         if trainer.seen:
             fixed = np.round(flat(trainer.w).astype(np.float64) * FIXED).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([trainer.seen], pa.int64()), pa.array([fixed.tolist()], pa.list_(pa.int64()))], names=["seen", "w"])

@@ -203,6 +203,17 @@ def test_training_lowers_the_loss_on_held_out_texts():
     assert after.sum() > 0.6 * before and after.sum() / n.sum() > -math.log(18)
 
 
+def test_every_window_is_learned_from():
+    train = toy(70)
+    v = vocabulary(train)
+    _, padded, places = lmscore.encode(train, v)
+    t, met = lmscore.Trainer(lmscore.start_weights()), []
+    step = t.step
+    t.step = lambda padded, drawn: (met.extend(drawn.tolist()), step(padded, drawn))
+    lmscore.learn(t, padded, places, np.random.default_rng(0))
+    assert sorted(met) == places.tolist() and t.seen == len(places) > lmscore.BATCH
+
+
 def test_gradient_is_the_slope():
     v = vocabulary(toy(20))
     _, padded, places = lmscore.encode(toy(3), v)
