@@ -173,13 +173,16 @@ def jet(graph: Graph, partition: DataFrame, block_limits: DataFrame, k: int, tem
     return best
 
 
-def coloring(graph: Graph, most: int = 200) -> DataFrame:
-    """(id, color): rounds in which nodes whose (hash, id) is a local minimum take the smallest color that no neighbour has."""
+def coloring(graph: Graph) -> DataFrame:
+    """(id, color): rounds in which nodes whose (hash, id) is a local minimum take the smallest color that no neighbour has.
+
+    Each round colours the open node with the least score at least, so the rounds end; loops don't count.
+    """
     scores = graph.nodes.select("id", F.struct(scrambled(F.col("id")).alias("h"), F.col("id").alias("i")).alias("score"))
     open_ = checkpointed(scores)
     done = graph.nodes.sparkSession.createDataFrame([], "id long, color int")
-    for _ in range(most):
-        e = graph.edges.select("src", "dst").join(open_.select(F.col("id").alias("src")), "src", "left_semi")
+    while not open_.isEmpty():
+        e = graph.edges.select("src", "dst").filter("src <> dst").join(open_.select(F.col("id").alias("src")), "src", "left_semi")
         low = e.join(open_.select(F.col("id").alias("dst"), "score"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("score").alias("low"))
         ready = open_.join(low, "id", "left").filter("low is null or score < low").select("id", "score")
         near = e.join(done.select(F.col("id").alias("dst"), "color"), "dst").groupBy(F.col("src").alias("id")).agg(F.collect_set("color").alias("used"))
@@ -187,8 +190,6 @@ def coloring(graph: Graph, most: int = 200) -> DataFrame:
         mex = F.array_min(F.array_except(F.sequence(F.lit(0), F.size("used")), F.col("used")))
         new = ready.join(near, "id", "left").select("id", F.when(F.col("used").isNull(), F.lit(0)).otherwise(mex).cast("int").alias("color"))
         new = checkpointed(new)
-        if new.isEmpty():
-            break
         done = checkpointed(done.unionByName(new))
         open_ = checkpointed(open_.join(new, "id", "left_anti"))
     return done

@@ -1,5 +1,7 @@
 """Small graphs with known values."""
 
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -178,6 +180,14 @@ def test_coloring_is_proper(spark):
     assert metrics.with_blocks(g.edges, c, "color").filter("bu = bv").isEmpty()
 
 
+def test_coloring_leaves_no_node_open(spark):
+    """A clique takes a round for each node; there is no bound on rounds, and a loop doesn't stop a node."""
+    assert list(inspect.signature(refinement.coloring).parameters) == ["graph"]
+    nodes = spark.range(4).select("id", F.lit(1).cast("long").alias("weight"))
+    edges = spark.createDataFrame([(i, j, 1) for i in range(4) for j in range(4) if i != j or i == 0], "src long, dst long, weight long")
+    assert sorted(r.color for r in refinement.coloring(Graph(nodes, edges)).collect()) == [0, 1, 2, 3]
+
+
 def test_refiners_keep_feasibility_and_lower_the_cut(spark):
     g = generators.grid(spark, 8, 8).checkpointed()
     p = g.nodes.select("id", (F.col("id") % 2).cast("int").alias("block")).checkpoint()
