@@ -30,9 +30,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
 PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{40,}={0,2}")
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}")
-#: Every base or added span other than an assignment holds such a run.
+#: Every base or added span holds such a run, but for assignments, signed tokens of short parts and keys wrapped in short lines.
 RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}")
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
@@ -159,7 +159,7 @@ def assigns(low: str) -> bool:
 
 def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, all spans), each by start, then kind as listed."""
-    if not text or not (RUN.search(text) or assigns(text.lower())):
+    if not text or not (RUN.search(text) or "eyJ" in text or "-----BEGIN" in text or assigns(text.lower())):
         return [], []
     by = lambda s: (s[1], ORDER[s[0]], s[2])
     base = sorted(base_spans(text), key=by)

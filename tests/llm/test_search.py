@@ -113,6 +113,16 @@ def test_structure_decides_what_is_reported():
     assert secrets.key_encoding(tlv(0x30, integer(1) + tlv(4, b"k" * 32))) == "ec"
 
 
+def test_keys_after_an_equals_sign_and_in_short_runs():
+    rsa = tlv(0x30, b"".join(integer(x) for x in (0, 2**511 + 1, 65537, 2**510 + 3, 2**255 + 1, 2**254 + 5, 3, 5, 7)))
+    b64 = base64.b64encode(rsa).decode()
+    text = f"PRIVATE_KEY={b64}\nx=1"
+    assert [text[a:b] for k, a, b in secrets.scan(text)[1] if k == "der"] == [b64]
+    assert ("jwt", 2, 42) in secrets.scan("a eyJhbGciOiJub25lIn0.eyJzdWIiOiIxIn0.c2ln b")[1]
+    body = "\n".join(b64[i : i + 16] for i in range(0, len(b64), 16))
+    assert [k for k, _, _ in secrets.scan(f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----")[1]] == ["pem"]
+
+
 def items(rows):
     long = [r[1] for r in rows if r[1] and len(r[1].split()) > 40]
     return [(1, " ".join(long[0].split()[5:25])), (2, "one two"), (3, long[3].upper()), (4, None), (5, "..."), (5, long[7]), (None, long[9])]
