@@ -12,6 +12,18 @@ fingerprints of a bucket compared, and a spanning forest of its links is emitted
 Defined results: null, empty and blank texts have fingerprint zero and link like any other; fewer words than a shingle give one shingle
 of all the words; repeated rows share a component; an empty table gives no rows. A null doc_id never names a component (the smallest id
 that isn't null does); a component without any id has a null component_id. Other columns are ignored by ``near_duplicates``.
+
+``drop_near_duplicates`` (the pipeline's stage) takes similarity, not bits: Jaccard of the sets of ``width``-word shingles. A node is a
+distinct sequence of words (rows with one are copies). It gets PRINTS fingerprints of its distinct words, each with bits of its own; two
+texts that share four in five of their five-word shingles share nearly all of their words, so some of these fingerprints differ in RADIUS
+bits at most, and the covering masks make every such pair collide. Exact similarity of the shingles decides; the only pairs that can be
+missed are those whose fingerprints all differ in more bits (recall 0.97 on 1 973 pairs of the test tables, 0.94 between 0.80 and 0.85).
+
+Its tables are looked up in rounds that grow, and what is similar to an earlier node of its bucket goes before the next round, so a large group
+of near copies is settled by its first members and never emitted as pairs. A bucket is compared with its first node, then with its next
+PIVOTS ones, and so on until nobody is left in it: no bucket is capped. Defined results of the stage: no two rows that stay are similar
+(but for that recall); each row that goes is a copy of an earlier row (by doc_id, null last) or similar to one; null, empty and blank
+texts are copies of each other; of rows equal in doc_id and text any one stays; an empty table gives no rows; all columns are kept.
 """
 
 from __future__ import annotations
@@ -23,14 +35,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, pieces, small_batches
+from .common import checkpointed, pieces, small_batches, written
 from .components import components
 
 SEED = 42
 BUCKET = 64
+PRINTS, RADIUS, PIVOTS = 6, 3, 16
+#: Pairs that differ in more of the 64 * PRINTS bits aren't compared: 0.8 of the shingles leaves a tenth of them on average.
+FAR = 24 * PRINTS
+MIX1, MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -144,14 +160,167 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
     return rows.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of docs, with their own columns, that stay: the one with the smallest doc_id of each component.
+def word_prints(words: set[bytes], count: int = PRINTS) -> list[int]:
+    """Majority bits over the words' hashes, ``count`` times with other bits; signed."""
+    ones = np.zeros(64 * count, np.int64)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+    salts = np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(hashes), 8192):
+        z = hashes[at : at + 8192, None] ^ salts
+        z = (z ^ (z >> np.uint64(33))) * MIX1
+        z = (z ^ (z >> np.uint64(33))) * MIX2
+        z ^= z >> np.uint64(33)
+        ones += np.unpackbits(z.astype(">u8").view(np.uint8).reshape(len(z), -1), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(hashes)).view(">i8").tolist()
+
+
+def shingles(words: list[bytes], width: int) -> np.ndarray:
+    """The sorted distinct hashes of the shingles of lower-cased words; fewer words than a shingle are one shingle."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    line = b" ".join(words)
+    if len(words) <= width:
+        return np.array([xxhash.xxh64_intdigest(line, SEED)], np.uint64)
+    ends = list(accumulate(map(len, words)))
+    h = xxhash.xxh64_intdigest
+    return np.unique(np.array([h(line[(ends[i - 1] + i if i else 0) : ends[i + width - 1] + i + width - 1], SEED) for i in range(len(words) - width + 1)], np.uint64))
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def named(words: list[bytes]) -> int:
+    return signed(xxhash.xxh64_intdigest(b" ".join(words), SEED))
+
+
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of (doc_id, text)."""
+    return docs.withColumn("_s_key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text"))
+
+
+def signatures(docs: DataFrame, prints: int) -> DataFrame:
+    """(node, doc_id, key, prints) of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches):
+            split = [words_of(t) for t in piece.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(named, split)), pa.int64()), piece.column(0), piece.column(1), pa.array([word_prints(set(w), prints) for w in split], pa.list_(pa.int64()))], names=["node", "doc_id", "key", "prints"])
+
+    return small_batches(keyed(docs)).select("doc_id", "_s_key", "text").mapInArrow(run, "node long, doc_id long, key long, prints array<bigint>")
+
+
+def shingle_sets(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
+    """(node, found): the shingles of the rows with these keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches):
+            split = [words_of(t) for t in piece.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(named, split)), pa.int64()), pa.array([shingles(w, width).tobytes() for w in split], pa.binary())], names=["node", "found"])
+
+    texts = keyed(docs).join(keys.select(F.col("key").alias("_s_key")), "_s_key", "left_semi").select("text")
+    return written(texts.mapInArrow(run, "node long, found binary"), "shingles").dropDuplicates(["node"])
+
+
+def rounds(prints: int, radius: int) -> list[list[tuple[int, int]]]:
+    """The tables (fingerprint, mask) of each round: whole fingerprints and one mask of each, then all others."""
+    masks = [(1 << 64) - 1, *covering((1 << 64) - 1, radius)]
+    return [[(i, masks[j]) for i in range(prints) for j in some] for some in (range(2), range(2, len(masks)))]
+
+
+def bucket_keys(nodes: DataFrame, tables: list[tuple[int, int]], carry: tuple[str, ...] = ()) -> DataFrame:
+    """(node, key, carry): nodes (node, prints, ...) once for each table, with the key of their bucket in it."""
+    at, mask = np.array([i for i, _ in tables]), np.array([m for _, m in tables], np.uint64)
+    mark = (mask * MIX1 + at.astype(np.uint64)) * MIX2  # tells the tables apart
+    columns = ["node", "prints", *(c for c in carry if c != "prints")]
+    kinds = {f.name: f.dataType.simpleString() for f in nodes.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+                prints = part.column(1).flatten().to_numpy().view(np.uint64).reshape(part.num_rows, -1)
+                z = (prints[:, at] & mask) ^ mark
+                z = (z ^ (z >> np.uint64(33))) * MIX1  # one to one
+                z = (z ^ (z >> np.uint64(33))) * MIX2
+                more = part.select(["node", *carry]).take(pa.array(np.repeat(np.arange(part.num_rows), len(tables))))
+                yield pa.RecordBatch.from_arrays([more.column(0), pa.array(z.ravel().view(np.int64)), *more.columns[1:]], names=["node", "key", *carry])
+
+    return nodes.select(*columns).mapInArrow(run, ", ".join(["node long", "key long", *(f"{c} {kinds[c]}" for c in carry)]))
+
+
+def met(nodes: DataFrame, tables: list[list[tuple[int, int]]]) -> DataFrame:
+    """(node): the nodes that share a bucket. Those that one round has found aren't looked up in later ones."""
+    left, found = nodes, None
+    for some in tables:
+        crowded = bucket_keys(nodes, some).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+        new = checkpointed(bucket_keys(left, some).join(crowded.hint("shuffle_hash"), "key", "left_semi").select("node").distinct())
+        left = nodes.join(new, "node", "left_anti")
+        found = new if found is None else found.unionByName(new)
+    return found
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(node): b of each pair (a, b) that is similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b, x, y = (batch.column(i).to_pylist() for i in range(3))
+            out = [n for n, s, t in zip(b, x, y, strict=True) if jaccard(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)) >= similarity]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["node"])
+
+    side = lambda n: sets.select(F.col("node").alias(n), F.col("found").alias(f"{n}_found"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("b", "a_found", "b_found")
+    return both.mapInArrow(run, "node long").distinct()
+
+
+def distance(a: Column, b: Column, prints: int) -> Column:
+    return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(1, prints)), F.bit_count(F.get(a, F.lit(0)).bitwiseXOR(F.get(b, F.lit(0)))))
+
+
+def settled(rows: DataFrame, sets: DataFrame, similarity: float, prints: int, far: int, pivots: int) -> DataFrame | None:
+    """(node): the nodes of rows (node, least, prints, key) that are similar to an earlier one of their bucket that itself was met first."""
+    gone, again = None, False
+
+    def crowded(x: DataFrame) -> DataFrame:
+        return checkpointed(x.join(x.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").hint("shuffle_hash"), "key"))
+
+    rows = crowded(rows)
+    while not rows.isEmpty():
+        if again:
+            rank = F.row_number().over(Window.partitionBy("key").orderBy("least", "node"))  # the planner keeps ``pivots`` of a key in each task
+            first = rows.withColumn("rank", rank).filter(F.col("rank") <= pivots).select("key", "least", "node", "prints")
+        else:  # a large bucket may be a group of near copies: its first node settles most of it
+            one = rows.filter(F.col("n") > pivots).groupBy("key").agg(F.min(F.struct("least", "node", "prints")).alias("p")).select("key", "p.*")
+            first = one.unionByName(rows.filter(F.col("n") <= pivots).select("key", "least", "node", "prints"))
+        first = checkpointed(first)
+        both = rows.join(first.select("key", F.col("node").alias("a"), F.col("least").alias("a_least"), F.col("prints").alias("a_prints")), "key")
+        both = both.filter((F.struct("a_least", "a") < F.struct("least", "node")) & (distance(F.col("a_prints"), F.col("prints"), prints) <= far))
+        out = checkpointed(similar_pairs(both.select("a", F.col("node").alias("b")).distinct(), sets, similarity))
+        gone = out if gone is None else gone.unionByName(out)
+        rows = crowded(rows.drop("n").join(first.select("key", "node"), ["key", "node"], "left_anti").join(out, "node", "left_anti"))
+        again = True
+    return None if gone is None else gone.distinct()
+
 
-    Of repeated rows with that doc_id one stays (any: they are told apart by nothing but other columns); rows without a doc_id stay
-    only if no row of their component has one, one row for each fingerprint's component.
-    """
-    found = near_duplicates(docs, width, radius)
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    once = docs.filter(F.col("doc_id").isNotNull()).join(stay, "doc_id", "left_semi")
-    none = docs.filter(F.col("doc_id").isNull())
-    return once.dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(none.dropDuplicates(["text"]))
+def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, prints: int = PRINTS, radius: int = RADIUS, far: int = FAR, pivots: int = PIVOTS) -> DataFrame:
+    """The rows of docs, with their own columns, that are neither a copy of an earlier row nor similar to one."""
+    found = checkpointed(signatures(docs, prints))
+    last = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("one")
+    nodes = checkpointed(found.groupBy("node").agg(F.min(last).alias("least"), one, F.any_value("prints").alias("prints")).select("node", "least", F.col("one.key").alias("key"), "prints"))
+    tables = rounds(prints, radius)
+    open_ = checkpointed(nodes.join(met(nodes, tables), "node", "left_semi"))
+    sets = shingle_sets(docs, open_.select("key"), width)
+    gone = None
+    for some in tables:
+        left = open_ if gone is None else open_.join(gone, "node", "left_anti")
+        new = settled(bucket_keys(left, some, ("least", "prints")), sets, similarity, prints, far, pivots)
+        if new is not None:
+            gone = checkpointed(new if gone is None else gone.unionByName(new))
+    stay = (nodes if gone is None else nodes.join(gone, "node", "left_anti")).select(F.col("key").alias("_s_key"))
+    return keyed(docs).join(stay, "_s_key", "left_semi").dropDuplicates(["_s_key"]).select(*(F.col(f"`{c}`") for c in docs.columns))

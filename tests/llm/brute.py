@@ -161,3 +161,26 @@ def components(ids, fps, radius):
             r = find(i)
             least[r] = min(least.get(r, x), x)
     return [least.get(find(i)) for i in range(len(ids))]
+
+
+def shingle_set(text, width=5):
+    w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    w = WS.findall(w)
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def similar(a, b):
+    return a == b or len(a & b) >= 0.8 * len(a | b)
+
+
+def near_left(rows):
+    """Pairs of similar rows (doc_id, text)."""
+    sets = [shingle_set(t) for _, t in rows]
+    return sum(similar(a, b) for i, a in enumerate(sets) for b in sets[:i])
+
+
+def has_earlier(rows, row):
+    """Whether another row that is no later (null ids last) is similar to row."""
+    order = lambda r: (r[0] is None, r[0] or 0)
+    mine = shingle_set(row[1])
+    return any(q != row and order(q) <= order(row) and similar(mine, shingle_set(q[1])) for q in rows)

@@ -5,16 +5,9 @@ import random
 import pytest
 
 import corpus_pipeline
-from graphloom.llm import similar
+from graphloom.llm import simhash
 
-
-def sets(text, width=5):
-    w = (text or "").lower().split()
-    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
-
-
-def near(a, b):
-    return a == b or len(a & b) >= 0.8 * len(a | b)
+import brute
 
 
 def texts(n=60, seed=5, copies=3):
@@ -39,25 +32,20 @@ def frame(spark, rows):
 
 
 def judged(rows, kept):
-    """No two kept rows are similar, and each other row is similar to an earlier one."""
-    order = lambda r: (r[0] is None, r[0] or 0)
-    all_ = [(r, sets(r[1])) for r in rows]
-    stay = [(r, sets(r[1])) for r in kept]
-    pairs = sum(near(a, b) for i, (_, a) in enumerate(stay) for _, b in stay[:i])
-    texts_ = {(r[0], r[1]) for r in kept}
-    for r, s in all_:
-        if (r[0], r[1]) not in texts_:
-            assert any(near(s, t) and order(q) <= order(r) for q, t in all_ if (q[0], q[1]) != (r[0], r[1]))
-    return pairs
-
-
-@pytest.mark.parametrize("bucket", [64, 3])
-def test_recall_and_order(spark, bucket):
+    """How many kept pairs are similar; each other row is similar to an earlier one."""
+    stay = [(r.doc_id, r.text) for r in kept]
+    every = [(r[0], r[1]) for r in rows]
+    assert all(brute.has_earlier(every, g) for g in set(every) - set(stay))
+    return brute.near_left(stay)
+
+
+@pytest.mark.parametrize("pivots", [16, 1])
+def test_recall_and_order(spark, pivots):
     rows = [(i, t, "x") for i, t in enumerate(texts())]
-    kept = similar.drop_similar(frame(spark, rows), bucket=bucket)
+    kept = simhash.drop_near_duplicates(frame(spark, rows), pivots=pivots)
     assert kept.columns == ["doc_id", "text", "w"]
-    all_ = [sets(t) for _, t, _ in rows]
-    want = {i for i, s in enumerate(all_) if any(near(s, t) for t in all_[:i])}
+    all_ = [brute.shingle_set(t) for _, t, _ in rows]
+    want = {i for i, s in enumerate(all_) if any(brute.similar(s, t) for t in all_[:i])}
     got = kept.collect()
     gone = set(range(len(rows))) - {r.doc_id for r in got}
     # of a chain of similar texts the later ones may stay, if what they are similar to goes: no pair of kept texts is similar
@@ -68,14 +56,14 @@ def test_rows_without_id_shared_ids_and_odd_texts(spark):
     a, b, c = (t for t in texts(3, 8, 0))
     near_a = a.rsplit(" ", 1)[0] + " other"
     rows = [(1, a, "x"), (None, near_a, "x"), (7, b, "x"), (7, c, "x"), (None, "", "x"), (3, None, "x"), (4, " \n", "x"), (5, "one two", "x"), (5, "one two", "x"), (9, c, "x")]
-    got = sorted(map(str, ((r.doc_id, r.text) for r in similar.drop_similar(frame(spark, rows)).collect())))
+    got = sorted(map(str, ((r.doc_id, r.text) for r in simhash.drop_near_duplicates(frame(spark, rows)).collect())))
     assert got == sorted(map(str, [(1, a), (7, b), (7, c), (3, None), (5, "one two")]))
-    assert similar.drop_similar(frame(spark, rows).limit(0)).count() == 0
+    assert simhash.drop_near_duplicates(frame(spark, rows).limit(0)).count() == 0
 
 
 def test_a_large_group_of_near_copies(spark):
     rows = [(i, t, "x") for i, t in enumerate(texts(1, 2, 120))]
-    assert judged(rows, similar.drop_similar(frame(spark, rows), bucket=32).collect()) == 0
+    assert judged(rows, simhash.drop_near_duplicates(frame(spark, rows)).collect()) == 0
 
 
 def test_the_stage_finds_a_copy_with_a_few_changed_words(spark):
