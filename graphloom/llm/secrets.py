@@ -2,9 +2,10 @@
 
 Base patterns (``assign``, ``access``, ``hex``) are always reported. On top of them, base64 and hex candidates are decoded and
 reported only if what they decode to is well-formed: a signed token whose header and payload are JSON objects (``jwt``), an armoured
-private key (``pem``), or a bare key encoding (``der``) whose tag-length-value structure nests without a byte left over.
+private key (``pem``; line breaks may be escaped, encrypted keys must name their cipher and start value), or a bare key encoding (``der``)
+whose tag-length-value structure nests without a byte left over.
 
-Defined results: a null text is an empty text; an empty table gives no rows; repeated rows give repeated results; other columns of
+Defined results: spans that start together stand in the order of their kinds, then by their end; a null text is an empty text; an empty table gives no rows; repeated rows give repeated results; other columns of
 the input are ignored. Every scan is linear in the text, whatever its length.
 """
 
@@ -14,6 +15,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +31,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+BEGIN, END = (re.compile(rf"-----{x} ((?:[A-Z0-9]{{1,20}} ){{0,4}}PRIVATE KEY)-----") for x in ("BEGIN", "END"))
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}")
 #: Every base or added span holds such a run, but for assignments, signed tokens of short parts and keys wrapped in short lines.
@@ -103,6 +105,32 @@ def key_encoding(data: bytes) -> str | None:
     return None
 
 
+def armoured(body: str) -> bool:
+    """Whether the text between the marks is a key: header lines, an empty line, base64; line breaks may be escaped."""
+    lines, headers = body.replace("\\r", "").replace("\\n", "\n").strip().splitlines(), {}
+    while lines and ":" in lines[0]:
+        name, _, value = lines.pop(0).partition(":")
+        headers[name.strip()] = value.strip()
+    data = from_base64("".join(lines))
+    if not data:
+        return False
+    if headers.get("Proc-Type", "").replace(" ", "") == "4,ENCRYPTED":
+        cipher, _, start = headers.get("DEK-Info", "").partition(",")
+        return len(data) % 8 == 0 and bool(re.fullmatch(r"[A-Z0-9-]+", cipher.strip()) and re.fullmatch(r"(?:[0-9A-Fa-f]{16}){1,2}", start.strip()))
+    return key_encoding(data) is not None
+
+
+def armoured_keys(text: str) -> list[tuple[str, int, int]]:
+    """From each opening mark to the next closing one, if no other mark opens between them and both name one kind of key."""
+    begins, ends, out = list(BEGIN.finditer(text)), list(END.finditer(text)), []
+    starts = [m.start() for m in ends]
+    for m, after in zip(begins, [*(x.start() for x in begins[1:]), len(text)], strict=True):
+        k = bisect_left(starts, m.end())
+        if k < len(ends) and starts[k] < after and ends[k][1] == m[1] and armoured(text[m.end() : starts[k]]):
+            out.append(("pem", m.start(), ends[k].end()))
+    return out
+
+
 def from_base64(s: str) -> bytes | None:
     s = re.sub(r"\s+", "", s).rstrip("=").replace("-", "+").replace("_", "/")
     if len(s) % 4 == 1:
@@ -138,7 +166,7 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans whose decoded structure proves them; one inside another of these is left out."""
     out = [("jwt", m.start(), m.end()) for m in JWT.finditer(text) if signed_token(m[0])]
     if "-----BEGIN" in text:
-        out += [("pem", m.start(), m.end()) for m in PEM.finditer(text) if (data := from_base64(m[2])) and key_encoding(data)]
+        out += armoured_keys(text)
     for m in BASE64.finditer(text):
         if (data := from_base64(m[0])) and key_encoding(data):
             out.append(("der", m.start(), m.end()))
