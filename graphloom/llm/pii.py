@@ -4,10 +4,12 @@ The field is trained on the small labelled table below (bracketed spans, some wi
 by Adam on the exact negative log-likelihood, and decoded by Viterbi over whole numpy batches of chains.
 
 The lattice is constrained: a token farther than ``REACH`` tokens from every trigger (a digit, an ``@``, the word ``dot``) can only
-be outside. As such a token's label is known, the chain on its left and the chain on its right decode independently, so decoding only
-the runs of free tokens gives the very labels that decoding the whole text would give.
+be outside. As such a token's label is known, the chain on its left and the chain on its right decode independently: a run of free tokens is
+decoded with the features of its true neighbours and with the transitions from and to the outside label of the bound token on either side,
+which gives the very labels that decoding the whole text under the constraint would give.
 
-Defined results: a null text is an empty text; an empty table gives no rows; repeated rows give repeated results; other columns of the
+Defined results: spans of a kind that start together stand by their end; paths of equal score are decided for the label listed first, from
+the last token on; a null text is an empty text; an empty table gives no rows; repeated rows give repeated results; other columns of the
 input are ignored. Base spans are always kept; a span of the field that overlaps a base span is dropped. All scans are linear in the text.
 """
 
@@ -31,7 +33,8 @@ REACH = 3
 FEATURES = 1 << 12
 L2 = 1e-3
 
-#: The labelled table: brackets mark a span and its kind; # stands for a seeded digit, % for a seeded octet, ~ for 15 digits and their check digit.
+#: The labelled table, written for this module; the rows without brackets show contexts of digits that are not personal data, some of them as
+#: cut out of a line in the middle of a word. No row is taken from a test table. Brackets mark a span and its kind; # stands for a seeded digit, % for a seeded octet, ~ for 15 digits and their check digit.
 LABELLED = """\
 please call [phone (###) ###-####] before noon
 call us at [phone (###) ###-####] or write
@@ -151,12 +154,11 @@ TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 CUES = frozenset("at dot call phone tel telefon mobile fax dial reach mail write to contact user an login host server route address card visa pay id order isbn serial code token key".split())
 
 
-@lru_cache(1 << 14)
 def shape(word: str) -> tuple[str, ...]:
     """Word-shape features: collapsed shape, digit count, check digit, edge marks, cue."""
     core = word.strip(".,;!?\"'")
-    full = "".join("d" if c in "0123456789" else "x" if c.islower() else "X" if c.isupper() else c for c in core[:64])
-    digits = "".join(c for c in core[:64] if c in "0123456789")
+    full = "".join("d" if c in "0123456789" else "x" if c.islower() else "X" if c.isupper() else c for c in core)
+    digits = "".join(c for c in core if c in "0123456789")
     out = ["s=" + re.sub(r"(.)\1+", r"\1+", full), "n=" + str(min(len(digits), 20)), "f=" + (full if len(full) <= 14 else "long")]
     if digits and len(core) - len(digits) >= 6 and core.replace("=", "").replace("_", "").isalnum():
         out.append("mixed")
@@ -178,13 +180,20 @@ def crc(s: str) -> int:
 
 
 @lru_cache(1 << 16)
-def ids(word: str, side: str) -> tuple[int, ...]:
+def short_ids(word: str, side: str) -> tuple[int, ...]:
     return tuple(crc(side + f) for f in shape(word))
 
 
-def features(words: list[str]) -> list[list[int]]:
-    edge = "\n"
-    padded = [edge, *words, edge]
+def ids(word: str, side: str) -> tuple[int, ...]:
+    return short_ids(word, side) if len(word) <= 200 else short_ids.__wrapped__(word, side)
+
+
+EDGE_OF_TEXT = "\n"
+
+
+def features(words: list[str], before: str = EDGE_OF_TEXT, after: str = EDGE_OF_TEXT) -> list[list[int]]:
+    """The features of each token: its own shape and those of its neighbours; before and after are the chain's neighbours."""
+    padded = [before, *words, after]
     return [[crc("bias"), *ids(padded[i], "0"), *ids(padded[i - 1], "-"), *ids(padded[i + 1], "+")] for i in range(1, len(words) + 1)]
 
 
@@ -269,8 +278,11 @@ def train(rows: list[tuple[list[str], list[int]]], steps: int = 120, rate: float
     return w, a
 
 
-def viterbi(chains: list[list[list[int]]], w: np.ndarray, a: np.ndarray) -> list[np.ndarray]:
-    """The best label sequence of each chain: chains of like length are decoded as one numpy batch."""
+def viterbi(chains: list[list[list[int]]], w: np.ndarray, a: np.ndarray, bound: list[tuple[bool, bool]] | None = None) -> list[np.ndarray]:
+    """The best label sequence of each chain: chains of like length are decoded as one numpy batch.
+
+    bound: for each chain whether a token that is bound to be outside stands before it, and after it.
+    """
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(chains)
     by_length = sorted(range(len(chains)), key=lambda i: len(chains[i]))
     at = 0
@@ -281,13 +293,14 @@ def viterbi(chains: list[list[list[int]]], w: np.ndarray, a: np.ndarray) -> list
         group, at = by_length[at:end], end
         x, n = bag([chains[i] for i in group])
         e = w[x].sum(2)
-        score, back = e[:, 0], np.zeros((len(group), x.shape[1], len(LABELS)), np.int8)
+        opens, closes = (np.array([bool(bound and bound[i][side]) for i in group])[:, None] for side in (0, 1))
+        score, back = e[:, 0] + opens * a[0], np.zeros((len(group), x.shape[1], len(LABELS)), np.int8)
         rows = np.arange(len(group))
         for k in range(1, x.shape[1]):
             step = score[:, :, None] + a
             back[:, k] = step.argmax(1)
             score = np.where((k < n)[:, None], step.max(1) + e[:, k], score)
-        label = score.argmax(1)
+        label = (score + closes * a[:, 0]).argmax(1)
         path = np.zeros(x.shape[:2], np.int64)
         for k in range(x.shape[1] - 1, -1, -1):
             path[:, k] = np.where(k < n, label, 0)
@@ -297,8 +310,8 @@ def viterbi(chains: list[list[list[int]]], w: np.ndarray, a: np.ndarray) -> list
     return out
 
 
-def chains_of(text: str) -> list[list[tuple[int, int]]]:
-    """The runs of tokens (start, end) that aren't bound to be outside."""
+def chains_of(text: str) -> list[tuple[list[tuple[int, int]], tuple[str, str]]]:
+    """The runs of tokens (start, end) that aren't bound to be outside, each with the tokens before and after it."""
     triggers = [m.start() for m in TRIGGER.finditer(text)]
     if not triggers:
         return []
@@ -311,7 +324,8 @@ def chains_of(text: str) -> list[list[tuple[int, int]]]:
             bounds[-1][1] = high
         else:
             bounds.append([low, high])
-    return [tokens[low:high] for low, high in bounds]
+    word = lambda i: text[tokens[i][0] : tokens[i][1]] if 0 <= i < len(tokens) else EDGE_OF_TEXT
+    return [(tokens[low:high], (word(low - 1), word(high))) for low, high in bounds]
 
 
 EDGE = ".,;!?\"'"
@@ -341,16 +355,17 @@ def field_spans(text: str, chain: list[tuple[int, int]], labels: np.ndarray) ->
 
 def scan_batch(texts: list[str | None], w: np.ndarray, a: np.ndarray) -> list[tuple[list, list]]:
     """(base spans, all spans) of each text, by kind as listed, then start."""
-    out, chains, owner = [], [], []
+    out, chains, owner, bound = [], [], [], []
     for i, text in enumerate(texts):
         if not text or not TRIGGER.search(text):
             out.append(([], []))
             continue
         out.append((base_spans(text), []))
-        for chain in chains_of(text):
+        for chain, sides in chains_of(text):
             owner.append((i, chain))
-            chains.append(features([text[s:e] for s, e in chain]))
-    for (i, chain), labels in zip(owner, viterbi(chains, w, a), strict=True):
+            chains.append(features([text[s:e] for s, e in chain], *sides))
+            bound.append((sides[0] != EDGE_OF_TEXT, sides[1] != EDGE_OF_TEXT))
+    for (i, chain), labels in zip(owner, viterbi(chains, w, a, bound), strict=True):
         if labels.any():
             out[i][1].extend(field_spans(texts[i], chain, labels))
     done = []
