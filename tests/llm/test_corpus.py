@@ -35,13 +35,20 @@ def test_quality_against_brute_force(docs, rows, labels):
     llr = ratios(rows, labels)
     got = sorted(quality.score(docs, labels).collect(), key=lambda r: str((r.doc_id, r.text)))
     assert len(got) == len(rows)
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    judged = [(x.llr, known[x.doc_id]) for x in got if x.doc_id in known and not x.base_failed]
+    values = sorted({v for v, _ in judged})
+    right = lambda cut, q: np.mean([(v >= cut) == (q == 1) for v, k in judged if k == q])
+    cuts = [((a + b) / 2, b - a) for a, b in zip(values, values[1:], strict=False)]
+    top = max(right(c, 0) + right(c, 1) for c, _ in cuts)
+    cut = max((width, -c) for c, width in cuts if right(c, 0) + right(c, 1) > top - 1e-9)[1] * -1
     for x, r in zip(got, sorted(rows, key=lambda r: str((r[0], r[1]))), strict=True):
         want = brute.quality(r[1])
         assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words, x.base_failed) == want
         g = brute.grams(r[1], quality.BUCKETS)
         mean = sum(llr[b] for b in g) / len(g) if g else None
         assert x.llr == (pytest.approx(mean, abs=1e-9) if g else None)
-        assert x.kept == (not want[5] and mean is not None and mean >= quality.THRESHOLD)
+        assert x.kept == (not want[5] and mean is not None and mean >= cut)
 
 
 def test_quality_keeps_columns(docs, labels, empty, spark):
@@ -217,6 +224,12 @@ def test_language_model_against_plain_loops(docs, rows, common):
     assert sum(math.exp(log_p(words, 0, x)) for x in counts) == pytest.approx(1, abs=1e-3)
 
 
+def test_threshold_is_the_middle_of_the_widest_best_gap():
+    assert quality.best_cut([(-2.0, 0), (-1.0, 0), (0.0, 1), (1.0, 1)]) == -0.5
+    assert quality.best_cut([(-2.0, 0), (0.5, 0), (0.0, 1), (0.25, 1)]) == -1.0  # one class wins as much on either side of the middle
+    assert quality.best_cut([(0.0, 1), (1.0, 1)]) == quality.best_cut([]) == quality.best_cut([(0.0, 0), (0.0, 1)]) == quality.THRESHOLD
+
+
 def toy(n=400, seed=1):
     """Texts in which a word is known from its neighbours on both sides."""
     rng = np.random.default_rng(seed)
