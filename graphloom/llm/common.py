@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, in local mode only) one of our own."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None)
+    if path is None and sc.getCheckpointDir() is None and not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="graphloom-"))
     return path or sc.getCheckpointDir()
@@ -45,7 +48,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def small_batches(docs: DataFrame, rows: int = 1000) -> DataFrame:
-    """docs, with Arrow batches of at most ``rows`` rows from now on: a batch of texts stands in memory several times over."""
+    """docs, with Arrow batches of at most ``rows`` rows from now on: a batch of texts stands in memory several times over.
+
+    The setting is read when the query runs, which is after this call, so it holds for the rest of the session; a smaller one is kept.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     conf = docs.sparkSession.conf
     if not 0 < int(conf.get(name)) <= rows:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import pieces, small_batches
 
 WINDOW = 8
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20  # a worker holds some thirty times that as dictionaries
 #: Over UTF-8 bytes: every byte of a character beyond ASCII is part of a word.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 

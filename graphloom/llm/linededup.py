@@ -141,10 +141,12 @@ def dedup_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, batches: int = BA
     shared_dir(spark)
     keys = written(line_keys(docs, batches), "line-keys", ("batch",))
     runs = LineRuns(spark, least_docs, fanout)
-    for i in range(batches):
-        runs.add(keys.filter(F.col("batch") == i).select(*HASH))
-    frequent = written(runs.frequent(), "frequent-lines")
-    runs.drop()
+    try:
+        for i in range(batches):
+            runs.add(keys.filter(F.col("batch") == i).select(*HASH))
+        frequent = written(runs.frequent(), "frequent-lines")
+    finally:
+        runs.drop()
     if frequent.count() <= broadcast_keys:
         rows = frequent.toArrow()
         gone = spark.sparkContext.broadcast(np.column_stack([rows.column(c).to_numpy() for c in HASH]).astype("<i8").tobytes())
@@ -157,7 +159,7 @@ def dedup_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, batches: int = BA
 
         return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
-    own = keys.select("r1", "r2", *HASH).join(frequent, HASH, "left_semi").groupBy("r1", "r2").agg(F.array_distinct(F.collect_list(F.struct(*HASH))).alias("gone"))
+    own = keys.select("r1", "r2", *HASH).join(frequent, HASH, "left_semi").groupBy("r1", "r2").agg(F.collect_set(F.struct(*HASH)).alias("gone"))
     joined = keyed(docs).join(own, ["r1", "r2"], "left").select("doc_id", "text", F.transform("gone", lambda x: x["h1"]).alias("g1"), F.transform("gone", lambda x: x["h2"]).alias("g2"))
 
     def each(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -313,10 +313,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
     shared_dir(spark)
     every = written(suffix_entries(docs, batches, length), "suffix-entries", ("batch",))
     levels = SuffixLevels(spark)
-    for i in range(batches):
-        levels.add(every.filter(F.col("batch") == i).select("key", "seg"))
-    repeated = written(levels.repeated(), "repeated-grams")
-    levels.drop()
+    try:
+        for i in range(batches):
+            levels.add(every.filter(F.col("batch") == i).select("key", "seg"))
+        repeated = written(levels.repeated(), "repeated-grams")
+    finally:
+        levels.drop()
     hits = written(every.drop("batch").join(repeated, "key"), "suffix-hits")
     release(spark)
 
@@ -335,7 +337,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
     full = whole.unionByName(again).select(*ROW, span(F.col("p"), F.col("p") + F.col("c")).alias("s"))
     part = hits.filter("several").join(single, ["key", "seg"]).select(*ROW, "p", F.explode("some").alias("x"))
     part = part.select(*ROW, span(F.col("p") + F.col("x.a"), F.col("p") + F.col("x.b")).alias("s"))
-    return full.unionByName(part).groupBy(*ROW).agg(F.collect_list("s").alias("spans"))
+    return full.unionByName(part).groupBy(*ROW).agg(F.collect_set("s").alias("spans"))  # rows that are equal share their spans
 
 
 def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
