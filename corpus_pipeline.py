@@ -2,6 +2,13 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return the columns of
 ``documents``. ``run`` writes each stage's rows as Parquet in the shared folder and reads them again for the next.
+
+Defined results: null, empty and blank texts have too few words and go in the first stage, so later stages see none of them in a run (alone,
+they handle them as their operators' docstrings say). Long texts count whole. Rows equal in doc_id and text are copies of one another: one
+stays. A null doc_id stays behind all others among near copies. Ties of key or order are settled by hashes of doc_id and text, so a run gives
+the same rows each time; of rows equal in both any one may stay. Empty tables give empty stages; without labels the likelihood ratio is 0 and
+only the base rules reject, without a benchmark nothing is contaminated. Columns beside those of ``documents`` are carried along, and
+the last stage's own columns (size, law, shard, slot) replace any of that name. Mixing may emit a document several times.
 """
 
 from __future__ import annotations
