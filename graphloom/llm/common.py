@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -42,9 +43,23 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df after a reliable checkpoint; for small and middling tables."""
+    """df after a reliable checkpoint; for small and middling tables.
+
+    A checkpoint runs its plan once to count and again to write, so the rows are held (on disk if need be) in between.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return held.checkpoint(eager=True)
+    finally:
+        held.unpersist()
+
+
+def compact(df: DataFrame, rows: int = 20_000) -> tuple[DataFrame, int]:
+    """(df after a checkpoint, in no more partitions than one for each ``rows`` rows; its rows): what a loop has left may be far less than it began with."""
+    out = checkpointed(df)
+    n = out.count()
+    return out.coalesce(n // rows + 1), n
 
 
 def small_batches(docs: DataFrame, rows: int = 1000) -> DataFrame:

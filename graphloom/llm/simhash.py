@@ -21,7 +21,7 @@ missed are those whose fingerprints all differ in more bits (recall 0.97 on 1 97
 
 Its tables are looked up in rounds that grow, and what is similar to an earlier node of its bucket goes before the next round, so a large group
 of near copies is settled by its first members and never emitted as pairs. A bucket is compared with its first node, then with its next
-PIVOTS ones, and so on until nobody is left in it: no bucket is capped. Defined results of the stage: no two rows that stay are similar
+PIVOTS ones, then with more at a time, until nobody is left in it: no bucket is capped. Defined results of the stage: no two rows that stay are similar
 (but for that recall); each row that goes is a copy of an earlier row (by doc_id, null last) or similar to one; null, empty and blank
 texts are copies of each other; of rows equal in doc_id and text any one stays; an empty table gives no rows; all columns are kept.
 """
@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, pieces, small_batches, written
+from .common import checkpointed, compact, pieces, small_batches
 from .components import components
 
 SEED = 42
@@ -224,7 +224,7 @@ def shingle_sets(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(map(named, split)), pa.int64()), pa.array([shingles(w, width).tobytes() for w in split], pa.binary())], names=["node", "found"])
 
     texts = keyed(docs).join(keys.select(F.col("key").alias("_s_key")), "_s_key", "left_semi").select("text")
-    return written(texts.mapInArrow(run, "node long, found binary"), "shingles").dropDuplicates(["node"])
+    return compact(texts.mapInArrow(run, "node long, found binary").dropDuplicates(["node"]), 2_000)[0]
 
 
 def rounds(prints: int, radius: int) -> list[list[tuple[int, int]]]:
@@ -258,7 +258,7 @@ def met(nodes: DataFrame, tables: list[list[tuple[int, int]]]) -> DataFrame:
     left, found = nodes, None
     for some in tables:
         crowded = bucket_keys(nodes, some).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-        new = checkpointed(bucket_keys(left, some).join(crowded.hint("shuffle_hash"), "key", "left_semi").select("node").distinct())
+        new = compact(bucket_keys(left, some).join(crowded.hint("shuffle_hash"), "key", "left_semi").select("node").distinct())[0]
         left = nodes.join(new, "node", "left_anti")
         found = new if found is None else found.unionByName(new)
     return found
@@ -284,26 +284,26 @@ def distance(a: Column, b: Column, prints: int) -> Column:
 
 def settled(rows: DataFrame, sets: DataFrame, similarity: float, prints: int, far: int, pivots: int) -> DataFrame | None:
     """(node): the nodes of rows (node, least, prints, key) that are similar to an earlier one of their bucket that itself was met first."""
-    gone, again = None, False
+    gone, most = None, 0
 
-    def crowded(x: DataFrame) -> DataFrame:
-        return checkpointed(x.join(x.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").hint("shuffle_hash"), "key"))
+    def crowded(x: DataFrame) -> tuple[DataFrame, int]:
+        return compact(x.join(x.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").hint("shuffle_hash"), "key"))
 
-    rows = crowded(rows)
-    while not rows.isEmpty():
-        if again:
-            rank = F.row_number().over(Window.partitionBy("key").orderBy("least", "node"))  # the planner keeps ``pivots`` of a key in each task
-            first = rows.withColumn("rank", rank).filter(F.col("rank") <= pivots).select("key", "least", "node", "prints")
+    rows, open_ = crowded(rows)
+    while open_:
+        if most:
+            rank = F.row_number().over(Window.partitionBy("key").orderBy("least", "node"))  # the planner keeps ``most`` of a key in each task
+            first = rows.withColumn("rank", rank).filter(F.col("rank") <= most).select("key", "least", "node", "prints")
         else:  # a large bucket may be a group of near copies: its first node settles most of it
             one = rows.filter(F.col("n") > pivots).groupBy("key").agg(F.min(F.struct("least", "node", "prints")).alias("p")).select("key", "p.*")
             first = one.unionByName(rows.filter(F.col("n") <= pivots).select("key", "least", "node", "prints"))
-        first = checkpointed(first)
+        first = compact(first)[0]
         both = rows.join(first.select("key", F.col("node").alias("a"), F.col("least").alias("a_least"), F.col("prints").alias("a_prints")), "key")
         both = both.filter((F.struct("a_least", "a") < F.struct("least", "node")) & (distance(F.col("a_prints"), F.col("prints"), prints) <= far))
-        out = checkpointed(similar_pairs(both.select("a", F.col("node").alias("b")).distinct(), sets, similarity))
+        out = compact(similar_pairs(both.select("a", F.col("node").alias("b")).distinct(), sets, similarity))[0]
         gone = out if gone is None else gone.unionByName(out)
-        rows = crowded(rows.drop("n").join(first.select("key", "node"), ["key", "node"], "left_anti").join(out, "node", "left_anti"))
-        again = True
+        rows, open_ = crowded(rows.drop("n").join(first.select("key", "node"), ["key", "node"], "left_anti").join(out, "node", "left_anti"))
+        most = min(4 * most, 16 * pivots) if most else pivots
     return None if gone is None else gone.distinct()
 
 
@@ -312,15 +312,15 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
     found = checkpointed(signatures(docs, prints))
     last = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("one")
-    nodes = checkpointed(found.groupBy("node").agg(F.min(last).alias("least"), one, F.any_value("prints").alias("prints")).select("node", "least", F.col("one.key").alias("key"), "prints"))
+    nodes, _ = compact(found.groupBy("node").agg(F.min(last).alias("least"), one, F.any_value("prints").alias("prints")).select("node", "least", F.col("one.key").alias("key"), "prints"), 5_000)
     tables = rounds(prints, radius)
-    open_ = checkpointed(nodes.join(met(nodes, tables), "node", "left_semi"))
+    open_ = compact(nodes.join(met(nodes, tables), "node", "left_semi"), 2_000)[0]
     sets = shingle_sets(docs, open_.select("key"), width)
     gone = None
     for some in tables:
         left = open_ if gone is None else open_.join(gone, "node", "left_anti")
         new = settled(bucket_keys(left, some, ("least", "prints")), sets, similarity, prints, far, pivots)
         if new is not None:
-            gone = checkpointed(new if gone is None else gone.unionByName(new))
+            gone = compact(new if gone is None else gone.unionByName(new))[0]
     stay = (nodes if gone is None else nodes.join(gone, "node", "left_anti")).select(F.col("key").alias("_s_key"))
     return keyed(docs).join(stay, "_s_key", "left_semi").dropDuplicates(["_s_key"]).select(*(F.col(f"`{c}`") for c in docs.columns))
