@@ -105,3 +105,25 @@ def scrambled_sql(c: str, seed: int = 0) -> str:
 def gain_bucket(gain: Column, base: float = 1.1) -> Column:
     """0 for no loss, then by the logarithm of the loss; gains mirror it below 0."""
     return F.when(gain > 0, -F.ceil(F.log(1 + gain) / F.log(F.lit(base)))).otherwise(F.ceil(F.log(1 - gain) / F.log(F.lit(base)))).cast("int")
+
+
+def div_ceil_column(a: Column, b: Column) -> Column:
+    return F.floor((a + b - 1) / b)
+
+
+def div_floor_column(a: Column, b: Column) -> Column:
+    return F.floor(a / b)
+
+
+def abs_diff_column(a: Column, b: Column) -> Column:
+    return F.abs(a - b)
+
+
+def is_square_column(c: Column) -> Column:
+    root = F.round(F.sqrt(c)).cast("long")
+    return root * root == c
+
+
+def edge_hash(src: Column, dst: Column, seed: int = 0) -> Column:
+    """A seeded hash of an edge, the same in both directions."""
+    return scrambled(scrambled(F.least(src, dst), seed) + F.greatest(src, dst), seed + 1)

@@ -78,6 +78,19 @@ class Graph:
         edges = pd.DataFrame({"src": np.repeat(ids, np.diff(xadj)) if n else ids, "dst": adjncy, "weight": np.ones(len(adjncy), np.int64) if adjwgt is None else np.asarray(adjwgt, np.int64)})
         return Graph(spark.createDataFrame(nodes, "id long, weight long"), spark.createDataFrame(edges, "src long, dst long, weight long"))
 
+    @staticmethod
+    def from_ranks(ranks: DataFrame) -> Graph:
+        """From compressed rows that lie in several places: (first, xadj, adjncy, vwgt, adjwgt), a row for each range of ids that starts at first.
+
+        Offsets count from the range's own start, neighbours are global ids, null weights are 1.
+        """
+        at = ranks.select("first", "xadj", "adjncy", "vwgt", "adjwgt", F.posexplode(F.slice("xadj", 1, F.size("xadj") - 1)).alias("i", "a"))
+        at = at.withColumns({"id": F.col("first") + F.col("i"), "d": F.get("xadj", F.col("i") + 1) - F.col("a")})
+        nodes = at.select("id", F.coalesce(F.get("vwgt", F.col("i")), F.lit(1)).cast("long").alias("weight"))
+        mine = lambda c: F.slice(c, (F.col("a") + 1).cast("int"), F.col("d").cast("int"))
+        edges = at.filter("d > 0").select("id", mine("adjncy").alias("to"), F.when(F.col("adjwgt").isNotNull(), mine("adjwgt")).alias("w")).select(F.col("id").alias("src"), F.posexplode("to").alias("j", "dst"), "w")
+        return Graph(nodes, edges.select("src", "dst", F.coalesce(F.get("w", F.col("j")), F.lit(1)).cast("long").alias("weight")))
+
     def to_csr(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(xadj, adjncy, node weights, edge weights): for graphs of the local tier, whose size the caller has checked."""
         nodes = self.nodes.select("id", "weight").toPandas().sort_values("id")

@@ -15,6 +15,10 @@ from ..functions.integers import scrambled
 from ..graph import Graph
 from ..session import checkpointed
 from .moves import admit
+from .select import low_degree
+
+#: Ids whose nodes may be paired or packed with one another where only that they have no better place joins them.
+SLOT = 1 << 16
 
 
 def singletons(graph: Graph) -> DataFrame:
@@ -69,6 +73,8 @@ class LabelPropagation:
     isolated: str = "match"  # match, cluster or keep
     two_hop_threshold: float = 0.5
     seed: int = 0
+    max_degree: int | None = None  # nodes of more neighbours are never moved
+    hub_degree: int | None = None  # nodes of more neighbours move in a superstep of their own, after all others
 
     def __call__(self, graph: Graph, max_weight: int, desired: int = 0, communities: DataFrame | None = None) -> DataFrame:
         edges = graph.edges
@@ -76,11 +82,17 @@ class LabelPropagation:
             from .select import within_communities
 
             edges = within_communities(graph, communities)
+        moving, hubs = edges, None
+        if self.max_degree is not None:
+            moving = moving.join(low_degree(graph, self.max_degree).withColumnRenamed("id", "src"), "src", "left_semi")
+        if self.hub_degree is not None:
+            light = checkpointed(low_degree(graph, self.hub_degree).withColumnRenamed("id", "src"))
+            moving, hubs = moving.join(light, "src", "left_semi"), moving.join(light, "src", "left_anti")
         clusters = checkpointed(singletons(graph))
         for r in range(self.rounds):
             moved = 0
-            for chunk in range(self.chunks):
-                part = chunk_edges(edges, chunk, self.chunks, self.seed + r)
+            parts = [chunk_edges(moving, chunk, self.chunks, self.seed + r) for chunk in range(self.chunks)]
+            for part in parts if hubs is None else [*parts, hubs]:
                 moves = checkpointed(lp_round(graph, clusters, max_weight, part, self.seed))
                 if count := moves.count():
                     moved += count
@@ -123,15 +135,15 @@ def favored(graph: Graph, clusters: DataFrame, max_weight: int) -> DataFrame:
 
 def two_hop_clusters(graph: Graph, clusters: DataFrame, max_weight: int, mode: str = "match") -> DataFrame:
     """Nodes that favour the same full cluster are merged: in pairs, or in bins."""
-    f = favored(graph, clusters, max_weight).withColumn("slot", F.col("favored"))
+    f = favored(graph, clusters, max_weight).withColumn("slot", F.struct("favored", F.floor(F.col("id") / SLOT).alias("part")))  # a hub's many suitors lie in many slots
     pairs = paired(f, "slot") if mode == "match" else packed(f, "slot", max_weight)
     return move(clusters, pairs.filter("id <> leader").select("id", F.col("leader").alias("to")))
 
 
-def isolated_clusters(graph: Graph, clusters: DataFrame, max_weight: int, mode: str = "match", communities: DataFrame | None = None, slots: int = 1) -> DataFrame:
-    """Nodes without edges are merged: in pairs, or in bins. slots > 1 splits them by hash, so that no task sees all of them."""
+def isolated_clusters(graph: Graph, clusters: DataFrame, max_weight: int, mode: str = "match", communities: DataFrame | None = None, slot_width: int = SLOT) -> DataFrame:
+    """Nodes without edges are merged: in pairs, or in bins, inside ranges of ``slot_width`` ids, so that no task sees all of them."""
     alone = graph.nodes.join(graph.edges.select(F.col("src").alias("id")), "id", "left_anti").filter(F.col("weight") * 2 <= max_weight)
-    slot = scrambled(F.col("id")) % slots
+    slot = F.floor(F.col("id") / slot_width)
     if communities is not None:
         alone, slot = alone.join(communities, "id"), F.struct(F.col("community"), slot)
     alone = alone.withColumn("slot", slot)

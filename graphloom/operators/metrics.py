@@ -132,3 +132,40 @@ def summary(graph: Graph, partition: DataFrame, block_limits: DataFrame, k: int)
     b = balance(graph, partition, k)
     o = overload(graph, partition, block_limits, k).select("feasible", "min_feasible", "total_overload")
     return cut.join(F.broadcast(b)).join(F.broadcast(o))
+
+
+def spread(rows: DataFrame, column: str) -> DataFrame:
+    """One row: n, least, mean, most, median and 90th percentile (interpolated), and the variance over all rows."""
+    c = F.col(column)
+    return rows.agg(
+        F.count("*").alias("n"), F.min(c).alias("least"), F.avg(c).alias("mean"), F.max(c).alias("most"), F.percentile(c, 0.5).alias("median"), F.percentile(c, 0.9).alias("p90"), F.var_pop(c).alias("variance"),
+    )
+
+
+def partition_properties(graph: Graph, partition: DataFrame) -> DataFrame:
+    """One row, from nothing but the graph and the labels: k (the largest block plus 1), blocks in use, cut, heaviest block, imbalance, and whether
+    every node has exactly one block."""
+    k = partition.agg((F.max("block") + 1).alias("k"), F.count_distinct("block").alias("used"))
+    labels = partition.groupBy("id").agg(F.count("*").alias("c"), F.min("block").alias("block"))
+    whole = graph.nodes.join(labels, "id", "full_outer").agg(F.bool_and(F.coalesce((F.col("c") == 1) & F.col("weight").isNotNull(), F.lit(False))).alias("complete"))
+    heaviest = graph.nodes.join(partition, "id").groupBy("block").agg(F.sum("weight").alias("w")).agg(F.max("w").alias("heaviest"), F.sum("w").alias("total"))
+    out = edge_cut(graph, partition).join(F.broadcast(k)).join(F.broadcast(heaviest)).join(F.broadcast(whole))
+    return out.select("k", "used", "edge_cut", "heaviest", (F.col("heaviest") / F.ceil(F.col("total") / F.col("k")) - 1.0).alias("imbalance"), "complete")
+
+
+def gain_statistics(moves: DataFrame, group: str = "from") -> DataFrame:
+    """(group, moves, positive, zero, gain): how many moves of each group win, draw, and what all that win come to."""
+    g = F.col("gain")
+    return moves.groupBy(group).agg(F.count("*").alias("moves"), F.sum((g > 0).cast("long")).alias("positive"), F.sum((g == 0).cast("long")).alias("zero"), F.sum(F.greatest(g, F.lit(0))).alias("gain"))
+
+
+def best_of(graph: Graph, partitions: Sequence[DataFrame], limit: float) -> DataFrame:
+    """One row (rep, cut, heaviest): the best of several partitions, feasible ones first, then by cut, then by the heaviest block."""
+    every = None
+    for rep, p in enumerate(partitions):
+        one = p.select("id", "block", F.lit(rep).alias("rep"))
+        every = one if every is None else every.unionByName(one)
+    u, v = (every.select(F.col("id").alias(c), "rep", F.col("block").alias(b)) for c, b in (("src", "bu"), ("dst", "bv")))
+    cut = graph.edges.join(u, "src").join(v, ["dst", "rep"]).groupBy("rep").agg(F.floor(F.sum(F.when(F.col("bu") != F.col("bv"), F.col("weight")).otherwise(0)) / 2).cast("long").alias("cut"))
+    w = graph.nodes.join(every, "id").groupBy("rep", "block").agg(F.sum("weight").alias("w")).groupBy("rep").agg(F.max("w").alias("heaviest"))
+    return cut.join(w, "rep").orderBy(F.col("heaviest") > F.lit(limit), "cut", "heaviest").limit(1).select("rep", "cut", "heaviest")

@@ -51,3 +51,22 @@ def best_n(moves: DataFrame, n: int, group: str = "from", rank: str = "gain") ->
     """The n best moves of each group, ties to the smaller id."""
     at = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(rank), "id"))
     return moves.withColumn("at", at).filter(F.col("at") <= n).drop("at")
+
+
+def cutoff(moves: DataFrame, needs: DataFrame, group: str = "from", rank: str = "bucket") -> DataFrame:
+    """(group, cutoff): the first bucket, from the best on, up to which a group's moves cover its ``need``; the last one if they never do.
+
+    needs: (group, need). One row for each group and bucket is all that a window sees.
+    """
+    h = moves.groupBy(group, rank).agg(F.sum("weight").alias("w"))
+    run = Window.partitionBy(group).orderBy(rank).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    h = h.withColumn("upto", F.sum("w").over(run)).join(F.broadcast(needs), group)
+    first = F.min(F.when(F.col("upto") >= F.col("need"), F.col(rank)))
+    return h.groupBy(group).agg(F.coalesce(first, F.max(rank)).alias("cutoff"))
+
+
+def batches(clusters: DataFrame, limit: int, group: str = "from", rank: str = "gain") -> DataFrame:
+    """(group, cluster, batch): a group's clusters (cluster, weight, gain), best first, in batches: a batch takes what begins below its limit."""
+    keyed = clusters.withColumnRenamed("cluster", "id")
+    at = ranked(keyed, group, rank, 0)
+    return at.select(group, F.col("id").alias("cluster"), F.floor((F.col("upto") - F.col("weight")) / limit).alias("batch"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.integers import relative_gain, scrambled
 from ..graph import Graph
-from ..session import checkpointed
+from ..session import checkpointed, small
 from .metrics import block_weights, connections, edge_cut, gains
 from .moves import admit, cover
 from .select import active, overlay
@@ -19,7 +19,7 @@ def moved(partition: DataFrame, moves: DataFrame) -> DataFrame:
 
 def rooms(graph: Graph, partition: DataFrame, block_limits: DataFrame, k: int) -> DataFrame:
     """(block, weight, min_weight, max_weight): k rows, computed once."""
-    return checkpointed(block_weights(graph, partition, k).join(block_limits, "block"))
+    return small(block_weights(graph, partition, k).join(F.broadcast(block_limits), "block"))
 
 
 def proposals(graph: Graph, partition: DataFrame, state: DataFrame, edges: DataFrame | None = None) -> DataFrame:
@@ -43,8 +43,11 @@ def lp_refine_round(graph: Graph, partition: DataFrame, block_limits: DataFrame,
     state = rooms(graph, partition, block_limits, k)
     p = proposals(graph, partition, state, edges)
     room = state.select(F.col("block").alias("to"), F.greatest(F.col("max_weight") - F.col("weight"), F.lit(0)).alias("room"))
+    admitted = admit(checkpointed(p), F.broadcast(room))
+    if state.filter("min_weight > 0").isEmpty():  # a block can always spare its own nodes
+        return admitted
     slack = state.select(F.col("block").alias("from"), (F.col("weight") - F.col("min_weight")).alias("room"))
-    return admit(checkpointed(admit(checkpointed(p), F.broadcast(room))), F.broadcast(slack), group="from")
+    return admit(checkpointed(admitted), F.broadcast(slack), group="from")
 
 
 def lp_refine(graph: Graph, partition: DataFrame, block_limits: DataFrame, k: int, rounds: int = 5, chunks: int = 2, seed: int = 0) -> DataFrame:
@@ -67,17 +70,17 @@ def lp_refine(graph: Graph, partition: DataFrame, block_limits: DataFrame, k: in
     return partition
 
 
-def overload_moves(graph: Graph, partition: DataFrame, block_limits: DataFrame, k: int, seed: int = 0) -> DataFrame:
+def overload_moves(graph: Graph, partition: DataFrame, block_limits: DataFrame, k: int, seed: int = 0, state: DataFrame | None = None) -> DataFrame:
     """One round of R2: out of each overloaded block the best relative gains that cover the overload, into blocks with room.
 
-    A node without an adjacent block with room goes to a light block chosen by hash.
+    A node without an adjacent block with room goes to a light block chosen by hash. state: the ``rooms``, if they are known.
     """
-    state = rooms(graph, partition, block_limits, k)
+    state = rooms(graph, partition, block_limits, k) if state is None else state
     need = state.filter("weight > max_weight").select(F.col("block").alias("from"), (F.col("weight") - F.col("max_weight")).alias("need"))
     room = state.select(F.col("block").alias("to"), F.greatest(F.col("max_weight") - F.col("weight"), F.lit(0)).alias("room"))
     out = partition.join(F.broadcast(need), partition.block == need["from"]).select("id", "from", "need").join(graph.nodes, "id")
     inside = graph.edges.join(out.select(F.col("id").alias("src")), "src", "left_semi")
-    c = connections(inside, partition)
+    c = checkpointed(connections(inside, partition))
     own = c.join(out, "id").filter(F.col("block") == F.col("from")).select("id", F.col("conn").alias("here"))
     there = c.join(out, "id").filter(F.col("block") != F.col("from")).join(F.broadcast(room), c.block == room["to"]).filter("weight <= room")
     best = there.groupBy("id").agg(F.max_by(F.struct("to", "conn"), F.struct("conn", -F.col("to"))).alias("b")).select("id", F.col("b.to").alias("adjacent"), F.col("b.conn").alias("conn"))
@@ -94,7 +97,10 @@ def overload_moves(graph: Graph, partition: DataFrame, block_limits: DataFrame,
 def balance_overload(graph: Graph, partition: DataFrame, block_limits: DataFrame, k: int, rounds: int = 12, seed: int = 0) -> DataFrame:
     """R2: rounds until no block is overloaded or nothing moves."""
     for r in range(rounds):
-        m = checkpointed(overload_moves(graph, partition, block_limits, k, seed + r))
+        state = rooms(graph, partition, block_limits, k)
+        if state.filter("weight > max_weight").isEmpty():
+            break
+        m = checkpointed(overload_moves(graph, partition, block_limits, k, seed + r, state))
         if m.isEmpty():
             break
         partition = checkpointed(moved(partition, m))
@@ -117,6 +123,8 @@ def underload_moves(graph: Graph, partition: DataFrame, block_limits: DataFrame,
 
 def balance_underload(graph: Graph, partition: DataFrame, block_limits: DataFrame, k: int, rounds: int = 12) -> DataFrame:
     for _ in range(rounds):
+        if rooms(graph, partition, block_limits, k).filter("weight < min_weight").isEmpty():
+            break
         m = checkpointed(underload_moves(graph, partition, block_limits, k))
         if m.isEmpty():
             break
@@ -162,7 +170,7 @@ def jet(graph: Graph, partition: DataFrame, block_limits: DataFrame, k: int, tem
             m = checkpointed(jet_filter(graph.edges, current, jet_find(graph.edges, current, temperature, locked)))
             if m.isEmpty():
                 break
-            current = balance_overload(graph, checkpointed(moved(current, m)), block_limits, k, seed=seed + r)
+            current = balance_overload(graph, checkpointed(moved(current, m)), block_limits, k, rounds=4, seed=seed + r)
             locked = m.select("id")
             now = rank(current)
             idle = 0 if now[0] < best_rank[0] or (now[0] == best_rank[0] and now[1] < 0.999 * best_rank[1]) else idle + 1
@@ -256,3 +264,10 @@ def probabilistic(moves: DataFrame, state: DataFrame, seed: int = 0) -> DataFram
 def snapshot_better(best: tuple[float, int], now: tuple[float, int]) -> bool:
     """Rank of (L1 imbalance, cut): less imbalance while imbalanced, else no larger cut."""
     return now[0] < best[0] if best[0] > 0 else now[0] == 0 and now[1] <= best[1]
+
+
+def pair_order(quotient: DataFrame, moves: DataFrame) -> DataFrame:
+    """(b1, b2, cut, gain, place): adjacent pairs of blocks, those first whose moves gain most, then those with the larger cut; at most k * k rows."""
+    pair = moves.groupBy(F.least("from", "to").alias("b1"), F.greatest("from", "to").alias("b2")).agg(F.sum(F.greatest("gain", F.lit(0))).alias("gain"))
+    both = quotient.select("b1", "b2", "cut").join(pair, ["b1", "b2"], "left").withColumn("gain", F.coalesce("gain", F.lit(0)))
+    return both.withColumn("place", F.row_number().over(Window.orderBy(F.desc("gain"), F.desc("cut"), "b1", "b2")))

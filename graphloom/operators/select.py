@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..graph import Graph
+from ..graph import Graph, dense_ids
 from .metrics import degrees, with_blocks
 
 
@@ -56,6 +56,13 @@ def reverse_violations(edges: DataFrame) -> DataFrame:
     return edges.join(back, ["src", "dst", "weight"], "left_anti")
 
 
+def reverse_index(edges: DataFrame) -> DataFrame:
+    """(src, dst, edge, reverse): the place of each edge in the order of (src, dst), and that of the edge back."""
+    keyed = edges.select(F.struct("src", "dst").alias("key"))
+    at = dense_ids(keyed, "key", "edge").select(F.col("key.src").alias("src"), F.col("key.dst").alias("dst"), "edge")
+    return at.join(at.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("edge").alias("reverse")), ["src", "dst"])
+
+
 def multi_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.count("*").alias("n")).filter("n > 1")
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.integers import degree_bucket, scrambled
+from ..functions.integers import degree_bucket, edge_hash
 from ..graph import Graph, dense_ids
 from .metrics import degrees, with_blocks
 
@@ -116,8 +117,7 @@ def sparsified(coarse: Graph, target: int, seed: int = 0) -> Graph:
     if t is None or coarse.m() <= target:
         return coarse
     share = (target - t["larger"]) / t["equal"]
-    low, high = F.least("src", "dst"), F.greatest("src", "dst")
-    drawn = scrambled(scrambled(low, seed) + high, seed + 1) < F.lit(int(share * 2_147_483_647))
+    drawn = edge_hash(F.col("src"), F.col("dst"), seed) < F.lit(int(share * 2_147_483_647))
     return Graph(coarse.nodes, coarse.edges.filter((F.col("weight") > t["value"]) | ((F.col("weight") == t["value"]) & drawn)))
 
 
@@ -131,20 +131,41 @@ def without_isolated(graph: Graph) -> tuple[Graph, DataFrame, DataFrame]:
 
 
 def assign_isolated(isolated: DataFrame, weights: DataFrame, block_limits: DataFrame) -> DataFrame:
-    """Isolated nodes (id, weight) fill the blocks in order up to their limits: running weights meet running rooms.
+    """Isolated nodes (id, weight) fill the blocks in order: heavier nodes first, each where its whole weight fits.
 
-    weights: (block, weight) so far. Exact for unit weights; a heavier node goes where its first unit fits. What fits nowhere goes to the last block.
+    weights: (block, weight) so far. Weights are taken by classes, rounded up to seven binary digits (exact below 128), so that the driver plans a
+    few thousand classes whatever the nodes are. What fits nowhere goes to the last block.
     """
-    order = dense_ids(isolated.select("id", "weight"), "id", "at")
-    unit = isolated.filter("weight <> 1").isEmpty()
-    start = F.col("at") if unit else F.sum("weight").over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("weight")
-    placed = order.withColumn("start", start)
-    rooms = weights.join(block_limits, "block").withColumn("room", F.greatest(F.col("max_weight") - F.col("weight"), F.lit(0)))
-    run = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # k rows
-    rooms = rooms.withColumn("upto", F.sum("room").over(run)).select("block", (F.col("upto") - F.col("room")).alias("low"), F.col("upto").alias("high"))
-    last = rooms.agg(F.max("block").alias("last"))
-    hit = placed.join(F.broadcast(rooms.filter("high > low")), (F.col("start") >= F.col("low")) & (F.col("start") < F.col("high")), "left")
-    return hit.join(F.broadcast(last)).select("id", F.coalesce("block", "last").alias("block"))
+    spark = isolated.sparkSession
+    over = F.greatest(F.length(F.bin("weight")) - 7, F.lit(0)).alias("over")
+    sized = isolated.select("id", "weight", over).selectExpr("id", "shiftleft(shiftright(weight + shiftleft(1L, over) - 1, over), over) AS size")
+    keyed = sized.select(F.struct((-F.col("size")).alias("s"), F.col("id").alias("i")).alias("key"))
+    order = dense_ids(keyed, "key", "at").select(F.col("key.i").alias("id"), "at")
+    state = weights.join(F.broadcast(block_limits), "block").select("block", F.greatest(F.col("max_weight") - F.col("weight"), F.lit(0)).alias("room")).orderBy("block").collect()  # k rows
+    blocks, room = np.array([r["block"] for r in state]), np.array([r["room"] for r in state], np.int64)
+    ranges, at = [], 0
+    for size, count in sorted(((r["size"], r["n"]) for r in sized.groupBy("size").agg(F.count("*").alias("n")).collect()), reverse=True):
+        fit = np.minimum(room // size, count)
+        upto = np.minimum(np.cumsum(fit), count)
+        taken = np.diff(upto, prepend=0)
+        room -= taken * size
+        used = np.flatnonzero(taken)
+        ranges += zip((at + upto[used] - taken[used]).tolist(), (at + upto[used]).tolist(), blocks[used].tolist(), strict=True)
+        if (left := count - int(taken.sum())) > 0:
+            ranges.append((at + count - left, at + count, int(blocks[-1])))
+        at += count
+    width = 1024
+    table = spark.createDataFrame(ranges, "low long, high long, block int")
+    table = table.withColumn("part", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width))))
+    hit = order.withColumn("part", F.floor(F.col("at") / width)).join(table, "part").filter("at >= low and at < high")
+    return hit.select("id", "block")
+
+
+def reintegrated(graph: Graph, ids: DataFrame, isolated: DataFrame) -> Graph:
+    """The graph that ``without_isolated`` took apart: its nodes under their old ids, and the isolated ones."""
+    old = ids.select(F.col("new_id").alias("old_id"), F.col("old_id").alias("new_id"))
+    back = permuted(graph, old)
+    return Graph(back.nodes.unionByName(isolated.select("id", "weight")), back.edges)
 
 
 def blocks_from_sizes(nodes: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from ..functions.integers import floor_log2_column
 from ..graph import Graph, dense_ids
 from ..session import checkpointed
 
+SALTS = 8
+
 
 def components(graph: Graph) -> DataFrame:
     """(id, component): the smallest id reachable. Rounds of hooking to the smallest neighbouring label, then a jump to the label's label."""
@@ -16,8 +18,12 @@ def components(graph: Graph) -> DataFrame:
     while True:
         near = graph.edges.join(labels.select(F.col("id").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("near"))
         new = labels.join(near, "id", "left").select("id", F.least("component", F.coalesce("near", "component")).alias("component"), F.col("component").alias("old"))
-        jump = new.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        new = checkpointed(new.join(jump, "component").select("id", F.col("further").alias("component"), "old"))
+        new = checkpointed(new)
+        # only labels that have a further label jump: the giant component's own is none of them, and the others are spread over salts
+        jump = new.filter("id <> component").select(F.col("id").alias("component"), F.col("component").alias("further"))
+        jump = jump.join(new.select("component").distinct(), "component", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = new.withColumn("salt", (F.col("id") % SALTS).cast("int"))
+        new = checkpointed(salted.join(jump, ["component", "salt"], "left").select("id", F.coalesce("further", "component").alias("component"), "old"))
         if new.filter("component <> old").isEmpty():
             return new.select("id", "component")
         labels = new.select("id", "component")

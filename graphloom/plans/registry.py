@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from ..graph import Graph
 from ..operators import clustering, metrics, moves, refinement, select, transforms, traversal
 from ..session import checkpointed, shared_dir
 from ..sources import files, generators, tables
-from .presets import Scheme
+from .presets import Scheme, preset
 
 K = 4
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +52,18 @@ ids AS (SELECT key, CAST(dense_rank() OVER (ORDER BY key) - 1 AS BIGINT) AS id F
 half AS (SELECT i.id AS src, j.id AS dst, CAST(weight AS BIGINT) AS weight FROM lp JOIN ids i ON a = i.key JOIN ids j ON b = j.key),
 edges AS (SELECT * FROM half UNION ALL SELECT dst, src, weight FROM half),
 nodes AS (SELECT id, CAST(1 AS BIGINT) AS weight FROM ids)"""
+ORD = f"""lp AS (SELECT o_custkey AS a, {tables.OFFSET} + o_orderkey AS b, count(*) AS weight FROM orders GROUP BY 1, 2),
+ids AS (SELECT key, CAST(dense_rank() OVER (ORDER BY key) - 1 AS BIGINT) AS id FROM (SELECT a AS key FROM lp UNION SELECT b FROM lp)),
+half AS (SELECT i.id AS src, j.id AS dst, CAST(weight AS BIGINT) AS weight FROM lp JOIN ids i ON a = i.key JOIN ids j ON b = j.key),
+edges AS (SELECT * FROM half UNION ALL SELECT dst, src, weight FROM half),
+nodes AS (SELECT id, CAST(1 AS BIGINT) AS weight FROM ids),
+part AS (SELECT id, CAST(id % {K} AS INTEGER) AS block FROM nodes)"""
+URG = f"""lp AS (SELECT o_custkey AS a, {tables.OFFSET} + l_suppkey AS b, count(*) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT' GROUP BY 1, 2),
+ids AS (SELECT key, CAST(dense_rank() OVER (ORDER BY key) - 1 AS BIGINT) AS id FROM (SELECT c_custkey AS key FROM customer UNION SELECT {tables.OFFSET} + s_suppkey FROM supplier UNION SELECT {2 * tables.OFFSET} + p_partkey FROM part)),
+half AS (SELECT i.id AS src, j.id AS dst, CAST(weight AS BIGINT) AS weight FROM lp JOIN ids i ON a = i.key JOIN ids j ON b = j.key),
+edges AS (SELECT * FROM half UNION ALL SELECT dst, src, weight FROM half),
+nodes AS (SELECT id, CAST(1 AS BIGINT) AS weight FROM ids),
+alone AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS r FROM nodes WHERE id NOT IN (SELECT src FROM edges))"""
 COP = """pairs AS (SELECT a.l_partkey AS p, b.l_partkey AS q, count(DISTINCT a.l_orderkey) AS weight FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_partkey <> b.l_partkey GROUP BY 1, 2),
 ids AS (SELECT key, CAST(dense_rank() OVER (ORDER BY key) - 1 AS BIGINT) AS id FROM (SELECT DISTINCT p AS key FROM pairs)),
 edges AS (SELECT i.id AS src, j.id AS dst, CAST(weight AS BIGINT) AS weight FROM pairs JOIN ids i ON p = i.key JOIN ids j ON q = j.key),
@@ -100,10 +113,9 @@ def graph_properties(spark, sf):
     return metrics.properties(tables.customer_supplier(spark, sf))
 
 
-@query(sql(CUST, select="SELECT * FROM nodes WHERE id NOT IN (SELECT src FROM edges WHERE src % 3 = 0 AND dst % 3 = 0)"))
+@query(sql(URG, select="SELECT * FROM nodes WHERE id NOT IN (SELECT src FROM edges)"))
 def isolated_nodes(spark, sf):
-    g = tables.customer_supplier(spark, sf)
-    return select.isolated(Graph(g.nodes, g.edges.filter("src % 3 = 0 and dst % 3 = 0")))
+    return select.isolated(tables.urgent_suppliers(spark, sf))
 
 
 @query(sql(SUPP, CUTS, select="SELECT CAST(sum(weight) // 2 AS BIGINT) AS edge_cut FROM ends WHERE bu <> bv"))
@@ -223,7 +235,7 @@ def broken(g: Graph) -> DataFrame:
     return g.edges.filter("not (src % 7 = 0 and src < dst)").unionByName(g.edges.filter("src % 11 = 0"))
 
 
-@query(sql(SUPP, BROKEN, select="SELECT * FROM broken b WHERE NOT EXISTS (SELECT 1 FROM broken r WHERE r.src = b.dst AND r.dst = b.src AND r.weight = b.weight)"))
+@query(sql(SUPP, BROKEN, "back AS MATERIALIZED (SELECT DISTINCT dst AS src, src AS dst, weight FROM broken)", select="SELECT * FROM broken ANTI JOIN back USING (src, dst, weight)"))
 def reverse_edge_violations(spark, sf):
     return select.reverse_violations(broken(tables.supplier_part(spark, sf)))
 
@@ -304,32 +316,23 @@ def block_subgraph_sizes(spark, sf):
     return transforms.subgraph_sizes(g, mod(g))
 
 
-#: Edges between suppliers and parts whose keys are far apart: many components.
-THIN = "thin AS (SELECT src, dst FROM edges WHERE (src + dst) % 41 = 0)"
+COMP = "walk(id, component) AS (SELECT id, id FROM nodes UNION SELECT dst, component FROM walk JOIN edges ON src = id), comp AS (SELECT id, min(component) AS component FROM walk GROUP BY 1)"
 
 
-def thin(spark, sf) -> Graph:
-    g = tables.supplier_part(spark, sf)
-    return Graph(g.nodes, g.edges.filter("(src + dst) % 41 = 0"))
-
-
-COMP = "walk(id, component) AS (SELECT id, id FROM nodes UNION SELECT dst, component FROM walk JOIN thin ON src = id), comp AS (SELECT id, min(component) AS component FROM walk GROUP BY 1)"
-
-
-@query(sql(SUPP, THIN, COMP, select="SELECT * FROM comp"))
+@query(sql(ORD, COMP, select="SELECT * FROM comp"))
 def connected_components(spark, sf):
-    return traversal.components(thin(spark, sf).checkpointed())
+    return traversal.components(tables.customer_orders(spark, sf).checkpointed())
 
 
-@query(sql(SUPP, THIN, COMP, select="SELECT CAST(length(bin(size)) - 1 AS INTEGER) AS bucket, count(*) AS components FROM (SELECT component, count(*) AS size FROM comp GROUP BY 1) GROUP BY 1"))
+@query(sql(ORD, COMP, select="SELECT CAST(length(bin(size)) - 1 AS INTEGER) AS bucket, count(*) AS components FROM (SELECT component, count(*) AS size FROM comp GROUP BY 1) GROUP BY 1"))
 def component_histogram(spark, sf):
-    return traversal.size_histogram(traversal.component_sizes(thin(spark, sf).checkpointed()))
+    return traversal.size_histogram(traversal.component_sizes(tables.customer_orders(spark, sf).checkpointed()))
 
 
-@query(sql(SUPP, THIN, "walk(id, distance) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT dst, distance + 1 FROM walk JOIN thin ON src = id WHERE distance < 4)", select="SELECT id, CAST(min(distance) AS INTEGER) AS distance FROM walk GROUP BY 1"))
+@query(sql(SUPP, "hop1 AS (SELECT DISTINCT dst AS id FROM edges WHERE src = 0)", "hop2 AS (SELECT DISTINCT dst AS id FROM edges WHERE src IN (SELECT id FROM hop1))", "walk AS (SELECT 0 AS id, 0 AS distance UNION ALL SELECT id, 1 FROM hop1 UNION ALL SELECT id, 2 FROM hop2 UNION ALL SELECT dst, 3 FROM edges WHERE src IN (SELECT id FROM hop2))", select="SELECT id, CAST(min(distance) AS INTEGER) AS distance FROM walk GROUP BY 1"))
 def bfs_distance(spark, sf):
-    g = thin(spark, sf).checkpointed()
-    return traversal.bfs(g, g.nodes.filter("id = 0"), 4)
+    g = tables.supplier_part(spark, sf).checkpointed()
+    return traversal.bfs(g, g.nodes.filter("id = 0"), 3)
 
 
 CELL = lambda seed: f"CAST({I.scrambled_sql('id', seed)} % 1024 AS INTEGER)"
@@ -368,17 +371,16 @@ def two_hop_match(spark, sf):
     return clustering.two_hop_clusters(g, c, 10)
 
 
-@query(sql(CUST, "s AS (SELECT * FROM edges WHERE src % 3 = 0 AND dst % 3 = 0)", "i AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS r FROM nodes WHERE id NOT IN (SELECT src FROM s))", select="SELECT id, coalesce(leader, id) AS cluster FROM nodes LEFT JOIN (SELECT id, min(id) OVER (PARTITION BY r // 2) AS leader FROM i) USING (id)"))
+@query(sql(URG, select="SELECT id, coalesce(leader, id) AS cluster FROM nodes LEFT JOIN (SELECT id, min(id) OVER (PARTITION BY r // 2) AS leader FROM alone) USING (id)"))
 def isolated_match(spark, sf):
-    g = tables.customer_supplier(spark, sf).checkpointed()
-    g = Graph(g.nodes, g.edges.filter("src % 3 = 0 and dst % 3 = 0"))
+    g = tables.urgent_suppliers(spark, sf).checkpointed()
     return clustering.isolated_clusters(g, clustering.singletons(g), 2)
 
 
-@query(sql(SUPP, CUTS, f"b AS (SELECT id, {I.scrambled_sql('id', 1)} AS score FROM (SELECT DISTINCT src AS id FROM ends WHERE bu <> bv AND src % 5 < 2))", select="SELECT id, score FROM b WHERE NOT EXISTS (SELECT 1 FROM edges JOIN b o ON o.id = dst WHERE src = b.id AND src % 5 < 2 AND dst % 5 < 2 AND (o.score < b.score OR o.score = b.score AND o.id < b.id))").replace("FROM ends WHERE bu <> bv AND src % 5 < 2", "FROM ends WHERE bu <> bv AND src % 5 < 2 AND dst % 5 < 2"))
+@query(sql(ORD, CUTS, f"b AS (SELECT id, {I.scrambled_sql('id', 1)} AS score FROM (SELECT DISTINCT src AS id FROM ends WHERE bu <> bv))", "low AS (SELECT src AS id, min((score, b.id)) AS other FROM edges JOIN b ON b.id = dst GROUP BY 1)", select="SELECT b.id, score FROM b LEFT JOIN low ON low.id = b.id WHERE other IS NULL OR (score, b.id) < other"))
 def independent_border_set(spark, sf):
-    g = tables.supplier_part(spark, sf).checkpointed()
-    return select.independent_border(Graph(g.nodes, g.edges.filter("src % 5 < 2 and dst % 5 < 2")), mod(g), 1)
+    g = tables.customer_orders(spark, sf).checkpointed()
+    return select.independent_border(g, mod(g), 1)
 
 
 @query(sql(SUPP, select='SELECT id, "to", weight FROM (SELECT src AS id, dst AS "to", weight, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM edges) WHERE r = 1'))
@@ -435,11 +437,20 @@ def block_sizes_to_partition(spark, sf):
     return transforms.blocks_from_sizes(g.nodes, sizes)
 
 
-@query(sql(CUST, "s AS (SELECT * FROM edges WHERE src % 3 = 0 AND dst % 3 = 0)", "i AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS r FROM nodes WHERE id NOT IN (SELECT src FROM s))", select="SELECT id, CAST(CASE WHEN r < 10 THEN 0 WHEN r < 30 THEN 2 ELSE 3 END AS INTEGER) AS block FROM i"))
+#: Nodes of weight 2 (ids with an odd remainder by 3 of 1) come first: each block takes as many as fit whole; then those of weight 1.
+FILL = """w AS (SELECT id, 1 + CAST(id % 3 = 1 AS INT) AS weight FROM alone),
+rooms AS (SELECT * FROM (VALUES (0, 11), (1, 0), (2, 20), (3, 100000000)) t(block, room)),
+two AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS r FROM w WHERE weight = 2), cap2 AS (SELECT block, room, room // 2 AS cap, sum(room // 2) OVER (ORDER BY block) AS upto FROM rooms),
+in2 AS (SELECT id, block FROM two JOIN cap2 ON r >= upto - cap AND r < upto),
+one AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS r FROM w WHERE weight = 1),
+cap1 AS (SELECT block, room - 2 * used AS cap, sum(room - 2 * used) OVER (ORDER BY block) AS upto FROM (SELECT block, room, (SELECT count(*) FROM in2 WHERE in2.block = rooms.block) AS used FROM rooms)),
+in1 AS (SELECT id, block FROM one JOIN cap1 ON r >= upto - cap AND r < upto)"""
+
+
+@query(sql(URG, FILL, select="SELECT id, block FROM in2 UNION ALL SELECT id, block FROM in1"))
 def assign_isolated(spark, sf):
-    g = tables.customer_supplier(spark, sf).checkpointed()
-    alone = select.isolated(Graph(g.nodes, g.edges.filter("src % 3 = 0 and dst % 3 = 0")))
-    state = spark.createDataFrame([(0, 90, 100), (1, 100, 100), (2, 80, 100), (3, 0, 100_000_000)], "block int, weight long, max_weight long")
+    alone = select.isolated(tables.urgent_suppliers(spark, sf).checkpointed()).withColumn("weight", 1 + (F.col("id") % 3 == 1).cast("long"))
+    state = spark.createDataFrame([(0, 89, 100), (1, 100, 100), (2, 80, 100), (3, 0, 100_000_000)], "block int, weight long, max_weight long")
     return transforms.assign_isolated(alone, state.select("block", "weight"), state.select("block", "max_weight"))
 
 
@@ -472,7 +483,6 @@ def refine_proposals(spark, sf):
 
 def partitioned(graph: Graph, scheme: str, **changes) -> DataFrame:
     from ..api import Partitioner
-    from .presets import preset
 
     context = preset("default").override("scheme", Scheme(scheme)).override("coarsening.contraction_limit", 64)
     for key, value in changes.items():
@@ -480,31 +490,67 @@ def partitioned(graph: Graph, scheme: str, **changes) -> DataFrame:
     return Partitioner(graph.nodes.sparkSession, context).set_graph(graph).compute_partition(K, 0.03)
 
 
-@query()
+#: What holds of every partition, whatever the scheme: all nodes, all blocks in use, no block above its limit, a smaller cut than hashing gives.
+def held(graph: str) -> str:
+    part = "" if "part AS" in graph else f", part AS (SELECT id, CAST(id % {K} AS INTEGER) AS block FROM nodes)"
+    cut = "SELECT CAST(sum(weight) // 2 AS BIGINT) FROM edges JOIN part u ON u.id = src JOIN part v ON v.id = dst WHERE u.block <> v.block"
+    return f"WITH {graph}{part} SELECT count(*) AS nodes, CAST({K} AS BIGINT) AS used, CAST(floor({LIMIT}) AS BIGINT) AS max_weight, ({cut}) AS hash_cut, true AS complete, true AS feasible, true AS below_hash_cut FROM nodes"
+
+
+def invariants(g: Graph, part: DataFrame) -> DataFrame:
+    limit = int((1.0 + 0.03) * -(-g.total_node_weight() // K))
+    p = metrics.partition_properties(g, checkpointed(part))
+    hashed = metrics.edge_cut(g, mod(g)).withColumnRenamed("edge_cut", "hash_cut")
+    return p.join(F.broadcast(hashed)).select(F.lit(g.n()).alias("nodes"), "used", F.lit(limit).cast("long").alias("max_weight"), "hash_cut", "complete", (F.col("heaviest") <= limit).alias("feasible"), (F.col("edge_cut") < F.col("hash_cut")).alias("below_hash_cut"))
+
+
+@query(held(SUPP))
 def partition_deep(spark, sf):
-    return partitioned(tables.supplier_part(spark, sf).checkpointed(), "deep")
+    g = tables.supplier_part(spark, sf).checkpointed()
+    return invariants(g, partitioned(g, "deep"))
 
 
-@query()
+@query(held(CUST))
 def partition_kway(spark, sf):
-    return partitioned(tables.customer_supplier(spark, sf).checkpointed(), "kway")
+    g = tables.customer_supplier(spark, sf).checkpointed()
+    return invariants(g, partitioned(g, "kway"))
 
 
-@query()
+@query(held(COP))
 def partition_rb(spark, sf):
-    return partitioned(tables.copurchase(spark, sf).checkpointed(), "rb")
+    g = tables.copurchase(spark, sf).checkpointed()
+    return invariants(g, partitioned(g, "rb"))
 
 
-@query()
+@query(held(SUPP))
 def partition_vcycle(spark, sf):
-    return partitioned(tables.supplier_part(spark, sf).checkpointed(), "vcycle")
+    g = tables.supplier_part(spark, sf).checkpointed()
+    return invariants(g, partitioned(g, "vcycle"))
+
 
+@query(held(ORD))
+def partition_vcycle_list(spark, sf):
+    """V-cycles over a list of k: the halves are the communities of the quarters."""
+    g = tables.customer_orders(spark, sf).checkpointed()
+    return invariants(g, partitioned(g, "vcycle", vcycles=(2,)))
 
-@query()
+
+@query(held(ORD))
 def partition_frames(spark, sf):
-    """The DataFrame tier: two levels of it at least, whatever the size."""
-    g = tables.copurchase(spark, sf).checkpointed()
-    return partitioned(g, "deep", local_edges=max(g.m() // 4, 1000))
+    """The DataFrame tier: two levels of it at least, whatever the size; blocks are split on the way up."""
+    g = tables.customer_orders(spark, sf).checkpointed()
+    return invariants(g, partitioned(g, "deep", local_edges=max(g.m() // 3, 1000)))
+
+
+@query(held(CUST))
+def partition_extended(spark, sf):
+    """Halves by ranges of ids, then every half split side by side in the task that holds it."""
+    from . import schemes
+
+    g = tables.customer_supplier(spark, sf).checkpointed()
+    limit = int((1.0 + 0.03) * -(-g.total_node_weight() // K))
+    lim = schemes.Limits(np.full(K, limit), np.zeros(K, np.int64), 0.03)
+    return invariants(g, schemes.extend_partition(g, checkpointed(schemes.spread(g, 2)), 2, lim, preset("default")))
 
 
 @query(sql(SUPP, select="SELECT id, weight, list(dst ORDER BY dst) AS adjacency FROM nodes LEFT JOIN (SELECT src, dst FROM edges) ON src = id GROUP BY 1, 2").replace("list(dst ORDER BY dst) AS adjacency", "string_agg(CAST(dst AS VARCHAR), ' ' ORDER BY dst) AS adjacency"))
@@ -537,9 +583,9 @@ def undirected_union(spark, sf):
     return Graph.from_edges(half.unionByName(half.filter("src % 2 = 0")).unionByName(turned)).edges
 
 
-@query(sql(SUPP, THIN, COMP, "s AS (SELECT component, count(*) AS size FROM comp GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)", "k AS (SELECT id, CAST(row_number() OVER (ORDER BY id) - 1 AS BIGINT) AS new_id FROM comp JOIN s USING (component))", select="SELECT u.new_id AS src, v.new_id AS dst FROM thin JOIN k u ON u.id = src JOIN k v ON v.id = dst"))
+@query(sql(ORD, COMP, "s AS (SELECT component, count(*) AS size FROM comp GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)", "k AS (SELECT id, CAST(row_number() OVER (ORDER BY id) - 1 AS BIGINT) AS new_id FROM comp JOIN s USING (component))", select="SELECT u.new_id AS src, v.new_id AS dst FROM edges JOIN k u ON u.id = src JOIN k v ON v.id = dst"))
 def largest_component(spark, sf):
-    return traversal.largest_component(thin(spark, sf).checkpointed())[0].edges.select("src", "dst")
+    return traversal.largest_component(tables.customer_orders(spark, sf).checkpointed())[0].edges.select("src", "dst")
 
 
 @query(sql(SUPP, select="SELECT CAST(b AS INTEGER) AS block, count(id) AS size FROM range(6) t(b) LEFT JOIN part ON block = b GROUP BY 1"))
@@ -570,42 +616,120 @@ def loss_buckets(spark, sf):
     return metrics.gains(g.edges, mod(g)).select("id", "to", bucket.cast("long").alias("bucket"))
 
 
-@query()
+def cluster_invariants(g: Graph, clusters: DataFrame, most: int) -> DataFrame:
+    """Every node in one cluster, none heavier than allowed, no cluster of nodes that are in no other, fewer clusters than nodes."""
+    clusters = checkpointed(clusters)
+    w = clustering.cluster_weights(g, clusters).agg(F.max("cluster_weight").alias("heaviest"), F.count("*").alias("clusters"))
+    n = clusters.agg(F.count("*").alias("nodes"), F.count_distinct("id").alias("ids"))
+    return n.join(F.broadcast(w)).select("nodes", "ids", (F.col("heaviest") <= most).alias("within_limit"), (F.col("clusters") < F.col("nodes") * 0.9).alias("shrinks"))
+
+
+CLUSTERED = "SELECT count(*) AS nodes, count(*) AS ids, true AS within_limit, true AS shrinks FROM nodes"
+
+
+@query(sql(SUPP, select=CLUSTERED))
 def clusters_lp(spark, sf):
     g = tables.supplier_part(spark, sf).checkpointed()
-    return clustering.LabelPropagation(rounds=2)(g, max(g.n() // 16, 2))
+    most = max(g.n() // 16, 2)
+    return cluster_invariants(g, clustering.LabelPropagation()(g, most), most)
+
+
+@query(sql(ORD, select=CLUSTERED))
+def clusters_lp_hubs(spark, sf):
+    """Two phases: nodes of more than eight neighbours move in supersteps of their own."""
+    g = tables.customer_orders(spark, sf).checkpointed()
+    return cluster_invariants(g, clustering.LabelPropagation(rounds=3, hub_degree=8, max_degree=100_000)(g, 12), 12)
 
 
-@query()
+@query(sql(ORD, select=CLUSTERED))
 def clusters_hem(spark, sf):
-    g = tables.copurchase(spark, sf).checkpointed()
-    return clustering.hem(g, 2, rounds=3)
+    g = tables.customer_orders(spark, sf).checkpointed()
+    return cluster_invariants(g, clustering.hem_or_lp(g, 8), 8)
+
 
+@query(sql(ORD, select=CLUSTERED))
+def clusters_overlaid(spark, sf):
+    g = tables.customer_orders(spark, sf).checkpointed()
+    return cluster_invariants(g, clustering.overlaid(g, 12, 1, clustering.LabelPropagation(rounds=2)), 12)
 
-@query()
+
+@query(sql(SUPP, select="SELECT count(*) AS nodes, CAST(0 AS BIGINT) AS improper, true AS few_colors FROM nodes"))
 def greedy_coloring(spark, sf):
-    g = thin(spark, sf).checkpointed()
-    return refinement.coloring(g)
+    """A proper colouring of the whole graph, with no more colours than the largest degree and one."""
+    g = tables.supplier_part(spark, sf).checkpointed()
+    colors = checkpointed(refinement.coloring(g))
+    bad = metrics.with_blocks(g.edges, colors, "color").filter("bu = bv").agg(F.count("*").alias("improper"))
+    most = metrics.degrees(g).agg(F.max("degree").alias("d"))
+    used = colors.agg(F.count("*").alias("nodes"), F.max("color").alias("c"))
+    return used.join(F.broadcast(bad)).join(F.broadcast(most)).select("nodes", "improper", (F.col("c") <= F.col("d")).alias("few_colors"))
 
 
 def _limits(spark, g):
     return metrics.limits(spark, K, g.total_node_weight(), epsilon=0.03)
 
 
-@query()
+def refined(graph: str) -> str:
+    return held(graph)
+
+
+@query(refined(COP))
 def refine_lp(spark, sf):
     g = tables.copurchase(spark, sf).checkpointed()
-    return refinement.lp_refine(g, checkpointed(mod(g)), _limits(spark, g), K, rounds=2)
+    return invariants(g, refinement.lp_refine(g, checkpointed(mod(g)), _limits(spark, g), K))
 
 
-@query()
+@query(refined(COP))
 def refine_jet(spark, sf):
     g = tables.copurchase(spark, sf).checkpointed()
-    return refinement.jet(g, checkpointed(mod(g)), _limits(spark, g), K, most=3)
+    return invariants(g, refinement.jet(g, checkpointed(mod(g)), _limits(spark, g), K, fruitless=2, most=3))
+
+
+@query(refined(ORD))
+def refine_colored(spark, sf):
+    """Colour after colour: no two neighbours move at once."""
+    g = tables.customer_orders(spark, sf).checkpointed()
+    colors = checkpointed(refinement.coloring(g))
+    return invariants(g, refinement.colored_lp_refine(g, checkpointed(mod(g)), _limits(spark, g), K, colors, rounds=2))
 
 
-@query()
+BALANCED = f"SELECT count(*) AS nodes, CAST({K} AS BIGINT) AS used, true AS complete, true AS feasible FROM nodes"
+
+
+def balanced(g: Graph, part: DataFrame, upper: int, lower: int = 0) -> DataFrame:
+    part = checkpointed(part)
+    w = metrics.block_weights(g, part, K).agg(F.max("weight").alias("most"), F.min("weight").alias("least"))
+    return metrics.partition_properties(g, part).join(F.broadcast(w)).select(F.lit(g.n()).alias("nodes"), "used", "complete", ((F.col("most") <= upper) & (F.col("least") >= lower)).alias("feasible"))
+
+
+def skewed(g: Graph) -> DataFrame:
+    return checkpointed(g.nodes.select("id", F.when(F.col("id") % 3 == 0, F.col("id") % K).otherwise(F.lit(0)).cast("int").alias("block")))
+
+
+@query(sql(SUPP, select=BALANCED))
 def balance_overload(spark, sf):
     g = tables.supplier_part(spark, sf).checkpointed()
-    skewed = g.nodes.select("id", F.when(F.col("id") % 3 == 0, F.col("id") % K).otherwise(F.lit(0)).cast("int").alias("block"))
-    return refinement.balance_overload(g, checkpointed(skewed), _limits(spark, g), K)
+    return balanced(g, refinement.balance_overload(g, skewed(g), _limits(spark, g), K), int(1.03 * -(-g.n() // K)))
+
+
+@query(sql(SUPP, select=BALANCED))
+def balance_underload(spark, sf):
+    """Every block is brought to nine tenths of its share at least."""
+    g = tables.supplier_part(spark, sf).checkpointed()
+    low = g.n() // K * 9 // 10
+    lim = spark.createDataFrame([(b, low, g.n()) for b in range(K)], "block int, min_weight long, max_weight long")
+    return balanced(g, refinement.balance_underload(g, skewed(g), lim, K), g.n(), low)
+
+
+@query(sql(ORD, select=BALANCED))
+def balance_clusters(spark, sf):
+    """Move sets of overloaded blocks are balanced like nodes; single nodes finish."""
+    g = tables.customer_orders(spark, sf).checkpointed()
+    return balanced(g, refinement.cluster_balance(g, skewed(g), _limits(spark, g), K, rounds=2), int(1.03 * -(-g.n() // K)))
+
+
+def more() -> None:
+    """The queries of the other module register themselves."""
+    from . import registry_parts  # noqa: F401
+
+
+more()

@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -37,6 +38,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once into the shared folder; survives lost executors and ends the lineage of a loop."""
+    """df, computed once into the shared folder; survives lost executors and ends the lineage of a loop.
+
+    A checkpoint runs its plan once to count and again to write, so the rows are held (on disk if need be) in between.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return held.checkpoint(eager=True)
+    finally:
+        held.unpersist()
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df as rows of the plan itself; for tables of a row for each block."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)

@@ -40,6 +40,20 @@ def customer_supplier(spark: SparkSession, sf_dir: str) -> Graph:
     return bipartite(pairs, "o_custkey", "l_suppkey", nodes=customers.unionByName(suppliers).distinct())
 
 
+def customer_orders(spark: SparkSession, sf_dir: str) -> Graph:
+    """Customers and their orders: a star for each customer."""
+    return bipartite(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")
+
+
+def urgent_suppliers(spark: SparkSession, sf_dir: str) -> Graph:
+    """Customers, suppliers and parts; an edge for each customer and supplier that share an order of the highest priority. Parts have no edge."""
+    orders = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_custkey")
+    pairs = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    key = lambda name, column, offset: table(spark, sf_dir, name).select((F.col(column) + offset).alias("key"))
+    every = key("customer", "c_custkey", 0).unionByName(key("supplier", "s_suppkey", OFFSET)).unionByName(key("part", "p_partkey", 2 * OFFSET))
+    return bipartite(pairs, "o_custkey", "l_suppkey", nodes=every.distinct())
+
+
 def copurchase(spark: SparkSession, sf_dir: str) -> Graph:
     """Parts bought in one order; weight: the number of such orders."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
