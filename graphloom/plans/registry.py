@@ -501,7 +501,7 @@ def invariants(g: Graph, part: DataFrame) -> DataFrame:
     limit = int((1.0 + 0.03) * -(-g.total_node_weight() // K))
     p = metrics.partition_properties(g, checkpointed(part))
     hashed = metrics.edge_cut(g, mod(g)).withColumnRenamed("edge_cut", "hash_cut")
-    return p.join(F.broadcast(hashed)).select(F.lit(g.n()).alias("nodes"), "used", F.lit(limit).cast("long").alias("max_weight"), "hash_cut", "complete", (F.col("heaviest") <= limit).alias("feasible"), (F.col("edge_cut") < F.col("hash_cut")).alias("below_hash_cut"))
+    return p.join(F.broadcast(hashed)).select(F.lit(g.n()).cast("long").alias("nodes"), "used", F.lit(limit).cast("long").alias("max_weight"), "hash_cut", "complete", (F.col("heaviest") <= limit).alias("feasible"), (F.col("edge_cut") < F.col("hash_cut")).alias("below_hash_cut"))
 
 
 @query(held(SUPP))
@@ -542,15 +542,15 @@ def partition_frames(spark, sf):
     return invariants(g, partitioned(g, "deep", local_edges=max(g.m() // 3, 1000)))
 
 
-@query(held(CUST))
+@query(held(SUPP))
 def partition_extended(spark, sf):
-    """Halves by ranges of ids, then every half split side by side in the task that holds it."""
+    """Halves by remainder, then every half split side by side in the task that holds it."""
     from . import schemes
 
-    g = tables.customer_supplier(spark, sf).checkpointed()
+    g = tables.supplier_part(spark, sf).checkpointed()
     limit = int((1.0 + 0.03) * -(-g.total_node_weight() // K))
     lim = schemes.Limits(np.full(K, limit), np.zeros(K, np.int64), 0.03)
-    return invariants(g, schemes.extend_partition(g, checkpointed(schemes.spread(g, 2)), 2, lim, preset("default")))
+    return invariants(g, schemes.extend_partition(g, checkpointed(mod(g, 2)), 2, lim, preset("default")))
 
 
 @query(sql(SUPP, select="SELECT id, weight, list(dst ORDER BY dst) AS adjacency FROM nodes LEFT JOIN (SELECT src, dst FROM edges) ON src = id GROUP BY 1, 2").replace("list(dst ORDER BY dst) AS adjacency", "string_agg(CAST(dst AS VARCHAR), ' ' ORDER BY dst) AS adjacency"))
@@ -698,7 +698,7 @@ BALANCED = f"SELECT count(*) AS nodes, CAST({K} AS BIGINT) AS used, true AS comp
 def balanced(g: Graph, part: DataFrame, upper: int, lower: int = 0) -> DataFrame:
     part = checkpointed(part)
     w = metrics.block_weights(g, part, K).agg(F.max("weight").alias("most"), F.min("weight").alias("least"))
-    return metrics.partition_properties(g, part).join(F.broadcast(w)).select(F.lit(g.n()).alias("nodes"), "used", "complete", ((F.col("most") <= upper) & (F.col("least") >= lower)).alias("feasible"))
+    return metrics.partition_properties(g, part).join(F.broadcast(w)).select(F.lit(g.n()).cast("long").alias("nodes"), "used", "complete", ((F.col("most") <= upper) & (F.col("least") >= lower)).alias("feasible"))
 
 
 def skewed(g: Graph) -> DataFrame:
