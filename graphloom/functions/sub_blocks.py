@@ -87,3 +87,6 @@ def adapted_epsilon(epsilon: float, total: int, sub_total: int, k: int, sub_k: i
     return max(base ** (1.0 / ceil_log2(sub_k)) - 1.0, 1e-4)
 
 
+def repetition_count(multiplier: float, sub_blocks: int, k: int, least: int, most: int) -> int:
+    """How often a bisection into so many of k blocks is tried: more often where more hangs on it."""
+    return max(least, min(most, math.ceil(multiplier * sub_blocks / max(ceil_log2(k), 1))))

@@ -178,3 +178,16 @@ def blocks_from_sizes(nodes: DataFrame, sizes: DataFrame) -> DataFrame:
 def block_sizes(spark, partition: DataFrame, k: int) -> DataFrame:
     counts = partition.groupBy("block").agg(F.count("*").alias("c"))
     return spark.range(k).select(F.col("id").cast("int").alias("block")).join(counts, "block", "left").select("block", F.coalesce("c", F.lit(0)).alias("size"))
+
+
+def replicated(graph: Graph, copies: int) -> Graph:
+    """Copies of the graph side by side; node u of copy c is u + c * n."""
+    n, times = graph.n(), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("c")
+    shift = F.col("c") * F.lit(n)
+    nodes = graph.nodes.select("id", "weight", times).select((F.col("id") + shift).alias("id"), "weight")
+    return Graph(nodes, graph.edges.select("src", "dst", "weight", times).select((F.col("src") + shift).alias("src"), (F.col("dst") + shift).alias("dst"), "weight"))
+
+
+def gathered(partition: DataFrame, n: int, copy: int) -> DataFrame:
+    """The partition of one copy of a replicated graph, under the graph's own ids."""
+    return partition.filter(F.floor(F.col("id") / n) == copy).select((F.col("id") - copy * n).alias("id"), "block")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.integers import floor_log2_column
+from ..functions.integers import floor_log2_column, scrambled
 from ..graph import Graph, dense_ids
 from ..session import checkpointed
 
@@ -78,11 +78,19 @@ def far_apart_pair(graph: Graph, seed: int, rounds: int = 2) -> tuple[int, int]:
     return a, b
 
 
-def ball(graph: Graph, seeds: DataFrame, hops: int, partition: DataFrame | None = None, exterior: str = "exclude", high_degree: int | None = None) -> Graph:
+def ball(graph: Graph, seeds: DataFrame, hops: int, partition: DataFrame | None = None, exterior: str = "exclude", high_degree: int | None = None, strategy: str = "ignore", seed: int = 0) -> Graph:
     """The subgraph around the seeds. exterior: ``exclude`` drops edges that leave it, ``include`` keeps their ends as nodes, ``contract``
-    maps the ends to one pseudo-node per block (id -1 - block). Nodes above ``high_degree`` are reached but not passed."""
+    maps the ends to one pseudo-node per block (id -1 - block). Nodes above ``high_degree`` are reached, and what lies behind them follows the
+    strategy: ``ignore`` doesn't pass them, ``take`` passes all of their edges, ``cut`` the first ``high_degree`` by target, ``sample`` as
+    many by a seeded hash of the target."""
     inner = graph
-    if high_degree is not None:
+    if strategy not in ("ignore", "take", "cut", "sample"):
+        raise ValueError(f"no strategy {strategy!r}; there are ignore, take, cut, sample")
+    if high_degree is not None and strategy in ("cut", "sample"):
+        key = [F.col("dst")] if strategy == "cut" else [scrambled(F.col("dst"), seed), F.col("dst")]
+        at = F.row_number().over(Window.partitionBy("src").orderBy(*key))  # the planner keeps ``high_degree`` of a node in each task
+        inner = Graph(graph.nodes, checkpointed(graph.edges.withColumn("at", at).filter(F.col("at") <= high_degree).drop("at")))
+    elif high_degree is not None and strategy == "ignore":
         from .metrics import degrees
 
         passable = degrees(graph).filter(F.col("degree") <= high_degree).select(F.col("id").alias("src"))

@@ -13,7 +13,7 @@ from ..functions import integers as I  # noqa: N812
 from ..graph import Graph, dense_ids
 from ..operators import clustering, metrics, moves, refinement, select, transforms, traversal
 from ..session import checkpointed, shared_dir
-from ..sources import files, generators, tables
+from ..sources import builder, files, generators, tables
 from .registry import BEST, BW, CONN, COP, CUST, CUTS, DEG, GAIN, K, ORD, SUPP, URG, mod, query, sql
 
 
@@ -357,3 +357,89 @@ def dense_numbering(spark, sf):
     """Offsets without a window over all rows."""
     ids = dense_ids(tables.supplier_part(spark, sf).nodes.select((F.col("id") * 7 + 3).alias("key")), "key", "at")
     return ids.agg(F.count("*").alias("n"), F.sum("at").alias("total"), F.max("at").alias("last"))
+
+
+@query(sql(CUST, DEG, "perm AS (SELECT id, CAST(row_number() OVER (ORDER BY CASE WHEN degree = 0 THEN 99 ELSE length(bin(degree)) END, id) - 1 AS BIGINT) AS new_id FROM deg)", select="SELECT u.new_id AS src, v.new_id AS dst, weight FROM edges JOIN perm u ON u.id = src JOIN perm v ON v.id = dst"))
+def parhip_reordered(spark, sf):
+    """The binary form read with nodes by degree, into the columnar form."""
+    import tempfile
+
+    path = f"{tempfile.mkdtemp()}/graph.parhip"  # this form needs a path that all machines see locally
+    files.write_parhip(tables.customer_supplier(spark, sf).checkpointed(), path)
+    return files.read_graph(spark, path, "parhip", "degree-buckets", scratch(spark, "reordered")).edges
+
+
+GRID = "SELECT i * {c} + j AS src, i * {c} + j + d AS dst, CAST(1 AS BIGINT) AS weight FROM range({r}) a(i), range({c}) b(j), (VALUES (1), (-1), ({c}), (-{c})) c(d) WHERE (d = 1 AND j < {c} - 1) OR (d = -1 AND j > 0) OR (d = {c} AND i < {r} - 1) OR (d = -{c} AND i > 0)"
+
+
+def around(u: int, r: int, c: int) -> list[int]:
+    i, j = divmod(u, c)
+    return [x for x, ok in ((u - c, i > 0), (u - 1, j > 0), (u + 1, j < c - 1), (u + c, i < r - 1)) if ok]
+
+
+@query(GRID.format(r=12, c=15))
+def built_by_node(spark, sf):
+    """S22, ST2: node after node, appended in small batches."""
+    b = builder.GraphBuilder(spark, scratch(spark, "built"), batch=300)
+    for u in range(12 * 15):
+        b.add_node(around(u, 12, 15))
+    return b.build().edges
+
+
+@query(GRID.format(r=40, c=50))
+def built_by_callback(spark, sf):
+    """Neighbourhoods asked for side by side."""
+    return builder.from_callbacks(spark, 2000, lambda u: (around(u, 40, 50), None)).edges
+
+
+@query(sql(ORD, "c AS (SELECT unnest([0, 1, 2]) AS c, (SELECT count(*) FROM nodes) AS n)", select="SELECT src + c * n AS src, dst + c * n AS dst, weight FROM edges, c"))
+def replicated(spark, sf):
+    """T17."""
+    return transforms.replicated(tables.customer_orders(spark, sf).checkpointed(), 3).edges
+
+
+@query(sql(ORD, select="SELECT id, block FROM part"))
+def gathered(spark, sf):
+    """One copy's labels out of three."""
+    g = tables.customer_orders(spark, sf).checkpointed()
+    copies = transforms.replicated(g, 3)
+    n = g.n()
+    part = copies.nodes.select("id", ((F.col("id") - n) % K).cast("int").alias("block"))
+    return transforms.gathered(part, n, 1)
+
+
+def ball_sql(key: str) -> str:
+    kept = f"kept AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY {key}) AS r FROM edges) WHERE r <= 5)"
+    hops = ["h1 AS (SELECT DISTINCT dst AS id FROM kept WHERE src = 0)", "h2 AS (SELECT DISTINCT dst AS id FROM kept WHERE src IN (SELECT id FROM h1))", "ins AS (SELECT 0 AS id UNION SELECT id FROM h1 UNION SELECT id FROM h2)"]
+    return sql(SUPP, kept, *hops, select="SELECT e.* FROM edges e WHERE src IN (SELECT id FROM ins) AND dst IN (SELECT id FROM ins)")
+
+
+@query(ball_sql("dst"))
+def ball_cut(spark, sf):
+    """Two hops; of a node of more than five neighbours the first five are passed."""
+    g = tables.supplier_part(spark, sf).checkpointed()
+    return traversal.ball(g, g.nodes.filter("id = 0"), 2, high_degree=5, strategy="cut").edges
+
+
+@query(ball_sql(f"{I.scrambled_sql('dst', 9)}, dst"))
+def ball_sample(spark, sf):
+    """Five neighbours drawn by hash."""
+    g = tables.supplier_part(spark, sf).checkpointed()
+    return traversal.ball(g, g.nodes.filter("id = 0"), 2, high_degree=5, strategy="sample", seed=9).edges
+
+
+@query("SELECT CAST(s AS INTEGER) AS sub_blocks, CAST(greatest(2, least(8, ceil(3.0 * s / 5))) AS INTEGER) AS repetitions FROM range(1, 33) t(s)")
+def repetition_counts(spark, sf):
+    """For k = 32."""
+    return rows(spark, "sub_blocks int, repetitions int", [(s, sub_blocks.repetition_count(3.0, s, 32, 2, 8)) for s in range(1, 33)])
+
+
+@query(sql(SUPP, "o AS (SELECT id, CAST(CASE WHEN id < n % 5 * (n // 5 + 1) THEN id // (n // 5 + 1) ELSE n % 5 + (id - n % 5 * (n // 5 + 1)) // (n // 5) END AS INTEGER) AS owner FROM nodes, (SELECT count(*) AS n FROM nodes))", select="SELECT owner, count(*) AS nodes, true AS inside FROM o GROUP BY 1"))
+def local_clusters(spark, sf):
+    """Label propagation inside each of five owners' ranges; no cluster spans two of them."""
+    g = tables.supplier_part(spark, sf).checkpointed()
+    owner = g.nodes.select("id", I.local_rank_column(F.col("id"), g.n(), 5).alias("community"))
+    c = clustering.LabelPropagation(rounds=2, isolated="keep", two_hop="off")(g, 20, communities=owner)
+    both = checkpointed(c.join(owner, "id"))
+    spans = both.groupBy("cluster").agg(F.count_distinct("community").alias("s")).agg(F.max("s").alias("most"))
+    return both.groupBy(F.col("community").alias("owner")).agg(F.count("*").alias("nodes")).join(F.broadcast(spans)).select("owner", "nodes", (F.col("most") == 1).alias("inside"))

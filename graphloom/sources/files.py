@@ -156,11 +156,23 @@ def read_columnar(spark: SparkSession, path: str) -> Graph:
     return Graph(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"))
 
 
-def read_graph(spark: SparkSession, path: str, format: str = "metis") -> Graph:  # noqa: A002
+def read_graph(spark: SparkSession, path: str, format: str = "metis", ordering: str = "natural", compress: str | None = None) -> Graph:  # noqa: A002
+    """A graph from a file. ordering ``degree-buckets`` numbers its nodes anew by degree, isolated ones last; compress: a folder for the columnar form."""
     readers = {"metis": read_metis, "parhip": read_parhip, "columnar": read_columnar}
     if format not in readers:
         raise ValueError(f"no graph format {format!r}; there are {', '.join(readers)}")
-    return readers[format](spark, path)
+    if ordering not in ("natural", "degree-buckets"):
+        raise ValueError(f"no node ordering {ordering!r}; there are natural, degree-buckets")
+    graph = readers[format](spark, path)
+    if ordering == "degree-buckets":
+        from ..operators.transforms import by_degree, permuted
+
+        graph = graph.checkpointed()
+        graph = permuted(graph, by_degree(graph))
+    if compress is not None:
+        write_columnar(graph, compress)
+        graph = read_columnar(spark, compress)
+    return graph
 
 
 def write_partition(partition: DataFrame, path: str) -> None:
