@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 import tempfile
@@ -62,6 +63,12 @@ def compact(df: DataFrame, rows: int = 20_000) -> tuple[DataFrame, int]:
     return out.coalesce(n // rows + 1), n
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner free the shuffle files of plans that are done."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(docs: DataFrame, rows: int = 1000) -> DataFrame:
     """docs, with Arrow batches of at most ``rows`` rows from now on: a batch of texts stands in memory several times over.
 

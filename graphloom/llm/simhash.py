@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, compact, pieces, small_batches
+from .common import checkpointed, compact, pieces, release, small_batches
 from .components import components
 
 SEED = 42
@@ -233,12 +233,10 @@ def rounds(prints: int, radius: int) -> list[list[tuple[int, int]]]:
     return [[(i, masks[j]) for i in range(prints) for j in some] for some in (range(2), range(2, len(masks)))]
 
 
-def bucket_keys(nodes: DataFrame, tables: list[tuple[int, int]], carry: tuple[str, ...] = ()) -> DataFrame:
-    """(node, key, carry): nodes (node, prints, ...) once for each table, with the key of their bucket in it."""
+def bucket_keys(nodes: DataFrame, tables: list[tuple[int, int]]) -> DataFrame:
+    """(node, key): nodes (node, prints) once for each table, with the key of their bucket in it."""
     at, mask = np.array([i for i, _ in tables]), np.array([m for _, m in tables], np.uint64)
     mark = (mask * MIX1 + at.astype(np.uint64)) * MIX2  # tells the tables apart
-    columns = ["node", "prints", *(c for c in carry if c != "prints")]
-    kinds = {f.name: f.dataType.simpleString() for f in nodes.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,21 +245,15 @@ def bucket_keys(nodes: DataFrame, tables: list[tuple[int, int]], carry: tuple[st
                 z = (prints[:, at] & mask) ^ mark
                 z = (z ^ (z >> np.uint64(33))) * MIX1  # one to one
                 z = (z ^ (z >> np.uint64(33))) * MIX2
-                more = part.select(["node", *carry]).take(pa.array(np.repeat(np.arange(part.num_rows), len(tables))))
-                yield pa.RecordBatch.from_arrays([more.column(0), pa.array(z.ravel().view(np.int64)), *more.columns[1:]], names=["node", "key", *carry])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), len(tables))), pa.array(z.ravel().view(np.int64))], names=["node", "key"])
 
-    return nodes.select(*columns).mapInArrow(run, ", ".join(["node long", "key long", *(f"{c} {kinds[c]}" for c in carry)]))
+    return nodes.select("node", "prints").mapInArrow(run, "node long, key long")
 
 
-def met(nodes: DataFrame, tables: list[list[tuple[int, int]]]) -> DataFrame:
-    """(node): the nodes that share a bucket. Those that one round has found aren't looked up in later ones."""
-    left, found = nodes, None
-    for some in tables:
-        crowded = bucket_keys(nodes, some).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-        new = compact(bucket_keys(left, some).join(crowded.hint("shuffle_hash"), "key", "left_semi").select("node").distinct())[0]
-        left = nodes.join(new, "node", "left_anti")
-        found = new if found is None else found.unionByName(new)
-    return found
+def crowded(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(rows whose key others have too, with the number ``n`` of those; how many rows that are)."""
+    many = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    return compact(rows.join(many.hint("shuffle_hash"), "key"))
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -282,14 +274,9 @@ def distance(a: Column, b: Column, prints: int) -> Column:
     return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(1, prints)), F.bit_count(F.get(a, F.lit(0)).bitwiseXOR(F.get(b, F.lit(0)))))
 
 
-def settled(rows: DataFrame, sets: DataFrame, similarity: float, prints: int, far: int, pivots: int) -> DataFrame | None:
-    """(node): the nodes of rows (node, least, prints, key) that are similar to an earlier one of their bucket that itself was met first."""
-    gone, most = None, 0
-
-    def crowded(x: DataFrame) -> tuple[DataFrame, int]:
-        return compact(x.join(x.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").hint("shuffle_hash"), "key"))
-
-    rows, open_ = crowded(rows)
+def settled(rows: DataFrame, sets: DataFrame, similarity: float, prints: int, far: int, pivots: int) -> DataFrame:
+    """(node): the nodes of rows (node, least, prints, key, n) that are similar to an earlier one of their bucket that itself was met first."""
+    gone, most, open_ = None, 0, 1
     while open_:
         if most:
             rank = F.row_number().over(Window.partitionBy("key").orderBy("least", "node"))  # the planner keeps ``most`` of a key in each task
@@ -303,8 +290,8 @@ def settled(rows: DataFrame, sets: DataFrame, similarity: float, prints: int, fa
         out = compact(similar_pairs(both.select("a", F.col("node").alias("b")).distinct(), sets, similarity))[0]
         gone = out if gone is None else gone.unionByName(out)
         rows, open_ = crowded(rows.drop("n").join(first.select("key", "node"), ["key", "node"], "left_anti").join(out, "node", "left_anti"))
-        most = min(4 * most, 16 * pivots) if most else pivots
-    return None if gone is None else gone.distinct()
+        most = min(4 * most, 16 * pivots) if most else 2 * pivots
+    return gone.distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, prints: int = PRINTS, radius: int = RADIUS, far: int = FAR, pivots: int = PIVOTS) -> DataFrame:
@@ -313,14 +300,17 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
     last = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("one")
     nodes, _ = compact(found.groupBy("node").agg(F.min(last).alias("least"), one, F.any_value("prints").alias("prints")).select("node", "least", F.col("one.key").alias("key"), "prints"), 5_000)
-    tables = rounds(prints, radius)
-    open_ = compact(nodes.join(met(nodes, tables), "node", "left_semi"), 2_000)[0]
-    sets = shingle_sets(docs, open_.select("key"), width)
     gone = None
-    for some in tables:
-        left = open_ if gone is None else open_.join(gone, "node", "left_anti")
-        new = settled(bucket_keys(left, some, ("least", "prints")), sets, similarity, prints, far, pivots)
-        if new is not None:
-            gone = compact(new if gone is None else gone.unionByName(new))[0]
+    for some in rounds(prints, radius):
+        left = nodes if gone is None else nodes.join(gone, "node", "left_anti")
+        rows, n = crowded(bucket_keys(left, some))
+        release(docs.sparkSession)
+        if not n:
+            continue
+        rows = compact(rows.join(left.select("node", "least", "prints"), "node"))[0]
+        sets = shingle_sets(docs, left.join(rows, "node", "left_semi").select("key"), width)
+        new = settled(rows, sets, similarity, prints, far, pivots)
+        gone = compact(new if gone is None else gone.unionByName(new))[0]
+        release(docs.sparkSession)
     stay = (nodes if gone is None else nodes.join(gone, "node", "left_anti")).select(F.col("key").alias("_s_key"))
     return keyed(docs).join(stay, "_s_key", "left_semi").dropDuplicates(["_s_key"]).select(*(F.col(f"`{c}`") for c in docs.columns))

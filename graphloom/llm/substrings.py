@@ -21,7 +21,6 @@ left is given as bytes.
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Iterator
 from functools import reduce
@@ -32,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, shared_dir, small_batches, written
+from .common import pieces, release, shared_dir, small_batches, written
 
 LENGTH, GRAM = 200, 64
 BATCHES, GROUP = 4, 64
@@ -128,12 +127,6 @@ def suffix_entries(docs: DataFrame, batches: int, length: int) -> DataFrame:
     return small_batches(keyed(docs)).mapInArrow(run, "batch int, r1 long, r2 long, p int, c short, m short, key long, seg long")
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner free the shuffle files of plans that are done."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 class SuffixLevels:
     """The family of runs (key, n, seg, several), each sorted and bucketed by key; ``found`` holds the repeated keys."""
 
