@@ -11,7 +11,7 @@ from graphloom.local import bipartition, kway
 from graphloom.local.csr import CSR
 from graphloom.operators import metrics
 from graphloom.plans import schemes
-from graphloom.plans.presets import Context, Scheme, preset, presets
+from graphloom.plans.presets import Context, Scheme, TwoHop, preset, presets
 from graphloom.sources import generators, tables
 
 
@@ -163,3 +163,67 @@ def test_cli(tmp_path, spark, capsys):
     assert "'components': 1" in capsys.readouterr().out
     assert cli.main([str(f), "2", "--dump-config", "--set", "coarsening.rounds=3"]) == 0
     assert "rounds=3" in capsys.readouterr().out
+
+
+def test_a_warm_partition_goes_on_after_a_restart(spark, tmp_path):
+    from graphloom.streaming.warm import WarmPartition
+
+    g = generators.grid(spark, 4, 4).checkpointed()
+    part = g.nodes.selectExpr("id", "cast(id >= 8 as int) as block")
+    batch = lambda *e: spark.createDataFrame(list(e), "src long, dst long")
+    w = WarmPartition(g, part, 2, 0.5, str(tmp_path / "state"))
+    w.update(batch((0, 16), (16, 17)), 0)
+    w.update(batch((17, 18)), 1)
+    again = WarmPartition(g, part, 2, 0.5, str(tmp_path / "state"))
+    assert again.last == 1 and again.graph.n() == 19 and again.partition.count() == 19
+    again.update(batch((17, 18)), 1)  # delivered twice: passed over
+    assert again.graph.m() == w.graph.m()
+    again.update(batch((18, 5)), 2)
+    again.update(batch((5, 6)), 3)
+    assert again.graph.m() == w.graph.m() + 2 and len(list((tmp_path / "state").glob("batch-*"))) == 2
+
+
+def test_presets_differ():
+    by = {}
+    for name, context in presets().items():
+        by.setdefault(context, []).append(name)
+    assert [names for names in by.values() if len(names) > 1] == []
+
+
+def test_deep_scheme_splits_blocks_on_frames_and_survives_a_stall(spark):
+    g = generators.grid(spark, 24, 24).checkpointed()
+    for context in (
+        Context(local_edges=700).override("coarsening.contraction_limit", 40),
+        Context(local_edges=100).override("coarsening.contraction_limit", 40).override("coarsening.rounds", 0).override("coarsening.two_hop", TwoHop.OFF),  # nothing is coarsened
+    ):
+        part = Partitioner(spark, context).set_graph(g).compute_partition(4, 0.1)
+        p = metrics.partition_properties(g, part).first()
+        assert p.complete and p.used == 4 and p.heaviest <= 1.1 * 144 and p.edge_cut < metrics.edge_cut(g, g.nodes.selectExpr("id", "cast(id % 4 as int) as block")).first()[0]
+
+
+def test_builders(spark, tmp_path):
+    from graphloom.sources.builder import GraphBuilder, callbacks_of, from_callbacks
+
+    b = GraphBuilder(spark, str(tmp_path / "g"), batch=4)
+    for to, w in (([1, 2], [5, 6]), ([0], [5]), ([0], [6]), ([], None)):
+        b.add_node(to, w, weight=len(to) + 1)
+    g = b.build()
+    assert sorted(map(tuple, g.edges.collect())) == [(0, 1, 5), (0, 2, 6), (1, 0, 5), (2, 0, 6)]
+    assert sorted(map(tuple, g.nodes.collect())) == [(0, 3), (1, 2), (2, 2), (3, 1)]
+    with pytest.raises(ValueError):
+        b.add_node([1], [1, 2])
+    assert GraphBuilder(spark, str(tmp_path / "none")).build().n() == 0
+    rows = {r.id: (r.neighbors, r.weights) for r in callbacks_of(g.edges).collect()}
+    h = from_callbacks(spark, 4, lambda u: rows.get(u, ([], None)), lambda u: u + 1)
+    assert sorted(map(tuple, h.edges.collect())) == sorted(map(tuple, g.edges.collect())) and h.total_node_weight() == 10
+
+
+def test_isolated_nodes_fit_whole(spark):
+    from graphloom.operators import transforms
+
+    nodes = spark.createDataFrame([(i, w) for i, w in enumerate([7, 5, 5, 300, 1, 1, 9])], "id long, weight long")
+    state = spark.createDataFrame([(0, 0, 10), (1, 0, 12), (2, 0, 1000)], "block int, weight long, max_weight long")
+    got = transforms.assign_isolated(nodes, state.select("block", "weight"), state.select("block", "max_weight"))
+    load = {r.block: r.w for r in got.join(nodes, "id").groupBy("block").sum("weight").toDF("block", "w").collect()}
+    assert got.count() == 7 and load[0] <= 10 and load[1] <= 12
+    assert transforms.assign_isolated(nodes.limit(0), state.select("block", "weight"), state.select("block", "max_weight")).count() == 0
