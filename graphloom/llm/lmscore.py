@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, small_batches, written
+from .common import pieces, release, small_batches, written
 
 COMMON, OWN, TAILS = 30_000, 1024, 256
 LEVELS, DIGITS = 4, 16
@@ -366,8 +366,11 @@ def fitted(docs: DataFrame, common: int, group_tokens: int) -> tuple[DataFrame,
     counts = word_counts(small_batches(docs))
     totals = leaf_totals(counts)
     chosen, rest = commonest(counts, common)
+    release(docs.sparkSession)
     rows = encoded(docs, Vocabulary(chosen, totals))
-    return rows, rest, totals, train(rows, biases(totals), group_tokens)
+    weights = train(rows, biases(totals), group_tokens)
+    release(docs.sparkSession)
+    return rows, rest, totals, weights
 
 
 def score(docs: DataFrame, common: int = COMMON, group_tokens: int = GROUP_TOKENS) -> DataFrame:
