@@ -227,3 +227,13 @@ def test_isolated_nodes_fit_whole(spark):
     load = {r.block: r.w for r in got.join(nodes, "id").groupBy("block").sum("weight").toDF("block", "w").collect()}
     assert got.count() == 7 and load[0] <= 10 and load[1] <= 12
     assert transforms.assign_isolated(nodes.limit(0), state.select("block", "weight"), state.select("block", "max_weight")).count() == 0
+
+
+def test_a_program_adds_its_own_clusterer_and_refiner(spark, monkeypatch):
+    g, seen = generators.grid(spark, 10, 10).checkpointed(), []
+    pairs = lambda context, seed: lambda g, w, communities: g.nodes.selectExpr("id", "id div 2 * 2 as cluster")
+    monkeypatch.setitem(schemes.CLUSTERERS, "pairs", pairs)
+    monkeypatch.setitem(schemes.REFINERS, "watch", lambda level, part: seen.append((level.k, level.fine)) or part)
+    c = Context(local_edges=200).override("coarsening.clusterer", "pairs").override("coarsening.contraction_limit", 20).override("refinement.algorithms", ("watch",))
+    part = schemes.partition_graph(g, schemes.Limits(np.full(4, 30), np.zeros(4, np.int64), 0.2), c)
+    assert part.count() == 100 and seen[-1] == (4, True) and part.select("block").distinct().count() == 4
