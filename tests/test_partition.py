@@ -237,3 +237,15 @@ def test_a_program_adds_its_own_clusterer_and_refiner(spark, monkeypatch):
     c = Context(local_edges=200).override("coarsening.clusterer", "pairs").override("coarsening.contraction_limit", 20).override("refinement.algorithms", ("watch",))
     part = schemes.partition_graph(g, schemes.Limits(np.full(4, 30), np.zeros(4, np.int64), 0.2), c)
     assert part.count() == 100 and seen[-1] == (4, True) and part.select("block").distinct().count() == 4
+
+
+@pytest.mark.parametrize("rule", sorted(bipartition.SIDES))
+@pytest.mark.parametrize("adaptive", [False, True])
+def test_two_way_search_under_every_rule(rule, adaptive):
+    g, rng = grid(14, 14), np.random.default_rng(2)
+    start = (rng.permutation(g.n) < g.n // 2).astype(np.int64)
+    part = bipartition.two_way_search(g, start, (105, 105), rule=rule, adaptive=adaptive)
+    w = np.bincount(part, g.vw, 2)
+    assert (w <= 105).all() and g.cut(part) < 0.5 * g.cut(start)
+    heavy = bipartition.two_way_search(g, np.zeros(g.n, np.int64), (105, 105), rule=rule, adaptive=adaptive)
+    assert (np.bincount(heavy, g.vw, 2) <= 105).all()
