@@ -40,7 +40,17 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
     schema = StructType([f for f in df.schema if f.name not in partition_by] + [df.schema[c] for c in partition_by])
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Removes tables that ``written`` made and that no plan still to run reads."""
+    for df in frames:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

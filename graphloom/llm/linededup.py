@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, shared_dir, small_batches, written
+from .common import discard, pieces, shared_dir, small_batches, written
 
 SPACE = b" \t\n\x0b\x0c\r"
 BROADCAST_KEYS = 1_000_000
@@ -149,6 +149,7 @@ def dedup_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, batches: int = BA
         runs.drop()
     if frequent.count() <= broadcast_keys:
         rows = frequent.toArrow()
+        discard(keys, frequent)
         gone = spark.sparkContext.broadcast(np.column_stack([rows.column(c).to_numpy() for c in HASH]).astype("<i8").tobytes())
 
         def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, release, shared_dir, small_batches, written
+from .common import discard, pieces, release, shared_dir, small_batches, written
 
 LENGTH, GRAM = 200, 64
 BATCHES, GROUP = 4, 64
@@ -313,6 +313,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
     finally:
         levels.drop()
     hits = written(every.drop("batch").join(repeated, "key"), "suffix-hits")
+    discard(every, repeated, *levels.found)
     release(spark)
 
     place = F.struct(*ROW, "p", "c", "m")
