@@ -281,12 +281,18 @@ def scratch(spark, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def local_scratch(spark, name: str) -> str:
+    """A path in the shared folder that all machines see as a local one: what the binary form needs."""
+    path = scratch(spark, name)
+    if "://" in path and not path.startswith("file://"):
+        raise ValueError(f"{path} is no local path")
+    return path.removeprefix("file://").removeprefix("file:")
+
+
 @query(sql(ORD, select="SELECT * FROM edges"))
 def parhip_roundtrip(spark, sf):
     """The binary form written, and read by ranges of about equal edges."""
-    import tempfile
-
-    path = f"{tempfile.mkdtemp()}/graph.parhip"  # this form needs a path that all machines see locally
+    path = local_scratch(spark, "parhip")
     files.write_parhip(tables.customer_orders(spark, sf).checkpointed(), path)
     return files.read_graph(spark, path, "parhip").edges
 
@@ -362,9 +368,7 @@ def dense_numbering(spark, sf):
 @query(sql(CUST, DEG, "perm AS (SELECT id, CAST(row_number() OVER (ORDER BY CASE WHEN degree = 0 THEN 99 ELSE length(bin(degree)) END, id) - 1 AS BIGINT) AS new_id FROM deg)", select="SELECT u.new_id AS src, v.new_id AS dst, weight FROM edges JOIN perm u ON u.id = src JOIN perm v ON v.id = dst"))
 def parhip_reordered(spark, sf):
     """The binary form read with nodes by degree, into the columnar form."""
-    import tempfile
-
-    path = f"{tempfile.mkdtemp()}/graph.parhip"  # this form needs a path that all machines see locally
+    path = local_scratch(spark, "parhip")
     files.write_parhip(tables.customer_supplier(spark, sf).checkpointed(), path)
     return files.read_graph(spark, path, "parhip", "degree-buckets", scratch(spark, "reordered")).edges
 
