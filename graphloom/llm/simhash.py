@@ -274,8 +274,11 @@ def distance(a: Column, b: Column, prints: int) -> Column:
     return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(1, prints)), F.bit_count(F.get(a, F.lit(0)).bitwiseXOR(F.get(b, F.lit(0)))))
 
 
-def settled(rows: DataFrame, sets: DataFrame, similarity: float, prints: int, far: int, pivots: int) -> DataFrame:
-    """(node): the nodes of rows (node, least, prints, key, n) that are similar to an earlier one of their bucket that itself was met first."""
+def settled(rows: DataFrame, sets: DataFrame, similarity: float, prints: int, far: int, pivots: int, seen: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(node): the nodes of rows (node, least, prints, key, n) that are similar to an earlier one of their bucket that itself was met first.
+
+    seen: the pairs (a, b) compared so far; they are not compared again, and come back with those compared here.
+    """
     gone, most, open_ = None, 0, 1
     while open_:
         if most:
@@ -287,11 +290,14 @@ def settled(rows: DataFrame, sets: DataFrame, similarity: float, prints: int, fa
         first = compact(first)[0]
         both = rows.join(first.select("key", F.col("node").alias("a"), F.col("least").alias("a_least"), F.col("prints").alias("a_prints")), "key")
         both = both.filter((F.struct("a_least", "a") < F.struct("least", "node")) & (distance(F.col("a_prints"), F.col("prints"), prints) <= far))
-        out = compact(similar_pairs(both.select("a", F.col("node").alias("b")).distinct(), sets, similarity))[0]
+        pairs = both.select("a", F.col("node").alias("b")).distinct()
+        pairs = compact(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))[0]
+        seen = pairs if seen is None else seen.unionByName(pairs)
+        out = compact(similar_pairs(pairs, sets, similarity))[0]
         gone = out if gone is None else gone.unionByName(out)
         rows, open_ = crowded(rows.drop("n").join(first.select("key", "node"), ["key", "node"], "left_anti").join(out, "node", "left_anti"))
         most = min(4 * most, 16 * pivots) if most else 2 * pivots
-    return gone.distinct()
+    return gone.distinct(), seen
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, prints: int = PRINTS, radius: int = RADIUS, far: int = FAR, pivots: int = PIVOTS) -> DataFrame:
@@ -300,7 +306,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
     last = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("one")
     nodes, _ = compact(found.groupBy("node").agg(F.min(last).alias("least"), one, F.any_value("prints").alias("prints")).select("node", "least", F.col("one.key").alias("key"), "prints"), 5_000)
-    gone = None
+    gone = seen = None
     for some in rounds(prints, radius):
         left = nodes if gone is None else nodes.join(gone, "node", "left_anti")
         rows, n = crowded(bucket_keys(left, some))
@@ -309,7 +315,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
             continue
         rows = compact(rows.join(left.select("node", "least", "prints"), "node"))[0]
         sets = shingle_sets(docs, left.join(rows, "node", "left_semi").select("key"), width)
-        new = settled(rows, sets, similarity, prints, far, pivots)
+        new, seen = settled(rows, sets, similarity, prints, far, pivots, seen)
         gone = compact(new if gone is None else gone.unionByName(new))[0]
         release(docs.sparkSession)
     stay = (nodes if gone is None else nodes.join(gone, "node", "left_anti")).select(F.col("key").alias("_s_key"))
