@@ -4,12 +4,13 @@ Two multinomials over ``BUCKETS`` hashed n-grams (words, word pairs, word ends):
 with quality 1). Their log ratio, summed over a document's n-grams and divided by their number, is held against one threshold for all.
 Pseudo-counts are in proportion to the two totals, so an n-gram too rare to tell gets a ratio near 1 at every corpus size.
 
-The threshold is fitted on a bounded set of labelled rows (``FIT``, chosen by hash of the id): of all cuts the one with the best mean
-accuracy over the two classes, of equally good ones the middle of the widest gap, of equally wide ones the lowest. Without labelled
-rows of both classes it is ``THRESHOLD``. A document on the threshold is kept.
+The threshold is fitted on every labelled row that passes the base rules: of all cuts the one with the best mean accuracy over the two
+classes, of equally good ones the middle of the widest gap, of equally wide ones the lowest. Without labelled rows of both classes it
+is ``THRESHOLD``. A document on the threshold is kept. An id that is labelled both ways counts as quality 1. The ratios are computed once,
+written without the texts' words and judged when they are read again; cuts are counted over ranges of the ratio, never in one task.
 
-The trusted ids are a bounded fit: all of them up to ``TRUSTED`` rows, beyond that a hash-chosen share of about as many; only they are
-broadcast. The raw counts cover every document. The ratio table is a literal of BUCKETS doubles, whatever the corpus.
+All trusted ids mark their documents: up to ``BROADCAST_IDS`` are broadcast, more are joined by hash. The raw counts cover every document.
+The ratio table is a literal of BUCKETS doubles, whatever the corpus; one plan of a run holds it.
 
 Defined results: null and empty texts have no words, so they fail the base rules; a document of one word has no pairs; an empty table
 gives no rows; repeated rows count and return repeatedly; a null doc_id is kept and is never trusted; columns besides those named are
@@ -20,11 +21,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpointed, written
+
 BUCKETS = 1 << 16
-TRUSTED, FIT = 200_000, 4_000
+BROADCAST_IDS = 200_000
 PSEUDO = 30.0
 THRESHOLD = -0.55
 MIN_WORDS, REPEAT_PERCENT = 50, 50
@@ -84,16 +87,19 @@ def base(docs: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * n.cast("long")))
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
+def trusted_ids(labels: DataFrame, most: int | None = None) -> DataFrame:
+    """The ids with quality 1: all of them, or (``most`` given) a hash-chosen share of about as many."""
     good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id")
-    n = good.count()
-    share = F.lit(True) if n <= most else F.pmod(F.xxhash64("doc_id", F.lit(42)), F.lit(1 << 30)) < int((1 << 30) * most / n)
-    return good.filter(share).distinct().withColumn("trusted", F.lit(1))
+    if most is not None and (n := good.count()) > most:
+        good = good.filter(F.pmod(F.xxhash64("doc_id", F.lit(42)), F.lit(1 << 30)) < int((1 << 30) * most / n))
+    return good.distinct().withColumn("trusted", F.lit(1))
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame) -> list[float]:
     """The log ratio of each bucket. Raises nothing on empty tables: without trusted documents every ratio is 0."""
-    marked = docs.select("doc_id", "text").join(F.broadcast(trusted_ids(labels)), "doc_id", "left")
+    trusted = trusted_ids(labels)
+    trusted = F.broadcast(trusted) if trusted.count() <= BROADCAST_IDS else trusted.hint("shuffle_hash")
+    marked = docs.select("doc_id", "text").join(trusted, "doc_id", "left")
     w = marked.select("trusted", words(F.col("text")).alias("w")).withColumn("h", word_hashes(F.col("w")))
     counts = (
         w.select("trusted", F.explode(ngram_buckets(F.col("w"), F.col("h"), F.size("w"))).alias("bucket"))
@@ -124,14 +130,32 @@ def best_cut(found: list[tuple[float, int]]) -> float:
     return max(cuts)[3] if cuts else THRESHOLD
 
 
-def fitted_threshold(docs: DataFrame, labels: DataFrame, ratios: Column, most: int = FIT) -> float:
-    known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality").dropDuplicates(["doc_id"])
-    n = known.count()
-    share = F.lit(True) if n <= most else F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * most / n)
-    some = docs.select("doc_id", "text").join(F.broadcast(known.filter(share)), "doc_id")
-    rows = with_ratio(base(some), ratios).select("llr", "quality", "base_failed").collect()  # about ``most`` rows
-    # not a filter of the plan: the optimiser would take it below the join, to every document
-    return best_cut([(r["llr"], r["quality"]) for r in rows if not r["base_failed"]])
+def widest_cut(values: DataFrame) -> float:
+    """The cut of ``best_cut`` from (llr, bad, good): the labelled rows of either class at each distinct ratio, counted over ranges of it."""
+    ranged = checkpointed(values.repartitionByRange("llr").withColumn("part", F.spark_partition_id()))
+    parts = ranged.groupBy("part").agg(F.min("llr").alias("first"), F.sum("bad").alias("bad"), F.sum("good").alias("good")).collect()  # a row for each partition
+    parts.sort(key=lambda r: r["first"])
+    n = [sum(r[k] for r in parts) for k in ("bad", "good")]
+    if not all(n):
+        return THRESHOLD
+    ends, bad, good = [], 0, 0
+    for i, r in enumerate(parts):
+        ends.append((r["part"], bad, good, parts[i + 1]["first"] if i + 1 < len(parts) else None))
+        bad, good = bad + r["bad"], good + r["good"]
+    rows = ranged.join(F.broadcast(values.sparkSession.createDataFrame(ends, "part int, bad_before long, good_before long, following double")), "part")
+    order = Window.partitionBy("part").orderBy("llr")
+    until = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    right = (F.col("bad_before") + F.sum("bad").over(until)) * n[1] + (n[1] - F.col("good_before") - F.sum("good").over(until)) * n[0]
+    cuts = rows.select("llr", right.alias("right"), F.coalesce(F.lead("llr").over(order), "following").alias("after")).filter("after is not null")
+    best = cuts.agg(F.max(F.struct("right", F.col("after") - F.col("llr"), -F.col("llr"), ((F.col("llr") + F.col("after")) / 2).alias("cut"))).alias("best")).first()["best"]
+    return best["cut"] if best else THRESHOLD
+
+
+def fitted_threshold(rows: DataFrame, labels: DataFrame) -> float:
+    """The threshold from all labelled rows of rows (doc_id, llr, base_failed) that pass the base rules."""
+    known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("long").alias("quality"))
+    judged = rows.filter("not base_failed").select("doc_id", "llr").join(known, "doc_id")
+    return widest_cut(judged.groupBy("llr").agg(F.sum(1 - F.col("quality")).alias("bad"), F.sum("quality").alias("good")))
 
 
 def with_ratio(rows: DataFrame, ratios: Column) -> DataFrame:
@@ -141,15 +165,22 @@ def with_ratio(rows: DataFrame, ratios: Column) -> DataFrame:
     return rows.withColumn("llr", F.when(F.col("n_words") > 0, total))
 
 
-def score(docs: DataFrame, labels: DataFrame, threshold: float | None = None) -> DataFrame:
-    """docs with the base columns, ``llr`` (mean log ratio, null without words), ``base_failed`` and ``kept``; the threshold is fitted if not given."""
+def rated(docs: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
+    """These columns of docs, the base columns and ``llr`` (mean log ratio, null without words)."""
+    own = docs.select("text", *(F.col(f"`{c}`") for c in columns if c != "text"))
     ratios = F.split(F.lit(",".join(map(repr, log_ratios(docs, labels)))), ",").cast("array<double>")  # folded into one literal
+    out = with_ratio(base(own), ratios)
+    return out.withColumn("n_words", F.col("n_words").cast("long")).drop("w", "h", *(() if "text" in columns else ("text",)))
+
+
+def score(docs: DataFrame, labels: DataFrame, threshold: float | None = None, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """docs (or these columns of it) with the base columns, ``llr``, ``base_failed`` and ``kept``; the threshold is fitted if not given."""
+    made = {"w", "h", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr"}
+    out = rated(docs, labels, *(c for c in columns or docs.columns if c.lower() not in made))
     if threshold is None:
-        threshold = fitted_threshold(docs, labels, ratios)
-    own = [c for c in docs.columns if c.lower() not in {"w", "h", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr"}]
-    out = with_ratio(base(docs.select(*(F.col(f"`{c}`") for c in own))), ratios)
-    out = out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(False)))
-    return out.withColumn("n_words", F.col("n_words").cast("long")).drop("w", "h")
+        out = written(out, "quality-rated")
+        threshold = fitted_threshold(out, labels)
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(False)))
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:

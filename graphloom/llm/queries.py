@@ -20,7 +20,7 @@ def op2_mix_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = quality.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    scored = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), columns=("doc_id",))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("llr", 6).alias("llr"))
 
 

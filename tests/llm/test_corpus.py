@@ -65,6 +65,36 @@ def test_trusted_sample_is_bounded(spark):
     assert quality.trusted_ids(many, 5000).count() == 4000
 
 
+def test_threshold_takes_every_labelled_row(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 40, 55) + (i % 3) * 8)) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0) if rng.random() < 0.8 else int(rng.random() < 0.5)) for i in range(6000)], "doc_id long, quality int")
+    got = quality.score(docs, labels).collect()
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    cut = quality.best_cut([(r.llr, known[r.doc_id]) for r in got if not r.base_failed])
+    assert [r.kept for r in got] == [not r.base_failed and r.llr >= cut for r in got]
+
+
+def test_cut_over_ranges_is_the_best_cut(spark):
+    rng = np.random.default_rng(6)
+    for n, step in ((0, 1), (1, 1), (12, 4), (3000, 0.01), (3000, 0.5)):
+        found = [(float(round(x / step) * step), int(q)) for x, q in zip(rng.normal(size=n), rng.integers(0, 2, n), strict=True)]
+        rows = spark.createDataFrame(found, "llr double, q long")
+        values = rows.groupBy("llr").agg(F.sum(1 - F.col("q")).alias("bad"), F.sum("q").alias("good"))
+        assert quality.widest_cut(values) == quality.best_cut(found)
+    one = spark.createDataFrame([(0.5, 3, 4)], "llr double, bad long, good long")
+    assert quality.widest_cut(one) == quality.THRESHOLD
+
+
+def test_all_trusted_ids_count_on_either_side(spark, docs, labels, monkeypatch):
+    many = spark.range(250_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    assert quality.trusted_ids(many).count() == 250_000
+    near = {r.doc_id: r.llr for r in quality.score(docs, labels, 0.0).collect()}
+    monkeypatch.setattr(quality, "BROADCAST_IDS", 0)
+    assert {r.doc_id: r.llr for r in quality.score(docs, labels, 0.0).collect()} == near
+
+
 def test_separates_planted_junk(spark):
     import random
 
