@@ -186,5 +186,6 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float | None = None, co
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, with their own columns, that the rules keep."""
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    judged = score(docs.select("doc_id", "text", row), labels)
-    return judged.filter("kept").select("row.*")
+    rows = rated(docs.select("doc_id", "text", row), labels, "doc_id", "row").select("doc_id", "llr", "base_failed", "row")
+    rows = written(rows, "quality-rated")  # all of them: a filter here would be computed apart from the ratios, which doubles the work
+    return rows.filter(~F.col("base_failed") & (F.col("llr") >= fitted_threshold(rows, labels))).select("row.*")

@@ -76,6 +76,19 @@ def test_threshold_takes_every_labelled_row(spark):
     assert [r.kept for r in got] == [not r.base_failed and r.llr >= cut for r in got]
 
 
+def test_pipeline_threshold_takes_every_labelled_row(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 40, 49 + i % 9) + (i % 3) * 8), i % 5) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, base_failed int").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0) if rng.random() < 0.8 else int(rng.random() < 0.5), 0) for i in range(6000)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    got = quality.score(docs.select("doc_id", "text"), labels, 0.0).collect()
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    cut = quality.best_cut([(r.llr, known[r.doc_id]) for r in got if not r.base_failed])
+    want = {r.doc_id for r in got if not r.base_failed and r.llr >= cut}
+    assert sorted(map(tuple, corpus_pipeline.quality_rules(spark, docs, str(tmp_path)).collect())) == [r for r in rows if r[0] in want]
+
+
 def test_cut_over_ranges_is_the_best_cut(spark):
     rng = np.random.default_rng(6)
     for n, step in ((0, 1), (1, 1), (12, 4), (3000, 0.01), (3000, 0.5)):
