@@ -42,6 +42,7 @@ DIM, SIDE = 16, 2
 OFFSETS = [o for o in range(-SIDE, SIDE + 1) if o]
 BATCH, RATE = 4096, 0.08
 GROUP_TOKENS, PIECE_TOKENS = 2_500_000, 400_000
+ONES, EVERY_DIGIT = np.ones((DIGITS, 1), np.float32), np.arange(DIGITS)[:, None]
 SEED = 3
 FIXED = 1 << 20
 CACHE = 1 << 20  # rare words that a task remembers
@@ -197,8 +198,20 @@ def window(weights: list[np.ndarray], padded: np.ndarray, places: np.ndarray) ->
     return h
 
 
+def powers(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(exp of z less a bound, sums of its rows, as a column); z loses the bound too. One bound does for all rows unless they lie far apart."""
+    z -= z.max()
+    e = np.exp(z)
+    total = e @ ONES
+    if total.min() < 1e-20:
+        z -= z.max(1, keepdims=True)
+        e = np.exp(z)
+        total = e @ ONES
+    return e, total
+
+
 def levels(weights: list[np.ndarray], bias: list[np.ndarray], h: np.ndarray, leaves: np.ndarray) -> Iterator[tuple[int, list, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each level: its embeddings' rows, hidden units, normalised log-probabilities of all digits, and the digit."""
+    """For each level: its embeddings' rows, hidden units, scores of all digits (log-probabilities but for a term of the row), and the digit."""
     for level, rows in enumerate(above(leaves)):
         a = h
         for k, at in rows:
@@ -206,8 +219,6 @@ def levels(weights: list[np.ndarray], bias: list[np.ndarray], h: np.ndarray, lea
         a = np.tanh(a)
         z = a @ weights[2][level]
         z += bias[level].take(leaves >> 4 * (LEVELS - level), 0)
-        z -= z.max(1, keepdims=True)
-        z -= np.log(np.exp(z).sum(1, keepdims=True))
         yield level, rows, a, z, leaves >> 4 * (LEVELS - level - 1) & 15
 
 
@@ -219,16 +230,22 @@ def log_leaf(weights: list[np.ndarray], bias: list[np.ndarray], padded: np.ndarr
         h = window(weights, padded, places[at : at + BATCH])
         every = np.arange(len(some))
         for _, _, _, z, digit in levels(weights, bias, h, some):
-            out[at : at + BATCH] += z[every, digit]
+            _, total = powers(z)
+            out[at : at + BATCH] += z[every, digit] - np.log(total[:, 0])
     return out
 
 
-def by_row(rows: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct rows, sums of their gradients)."""
+def by_row(rows: np.ndarray, *gs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(distinct rows, for each of gs the sums of their gradients)."""
     order = np.argsort(rows.astype(np.uint16), kind="stable")
-    rows = rows[order]
-    cuts = np.flatnonzero(np.diff(rows, prepend=-1))
-    return rows[cuts], np.add.reduceat(g[order], cuts)
+    rows = rows.take(order)
+    cuts = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+    return rows.take(cuts), *(np.add.reduceat(g.take(order, 0), cuts) for g in gs)
+
+
+def by_digit(rows: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """For each digit the sum of the gradients of its rows."""
+    return (rows == EVERY_DIGIT).astype(np.float32) @ g
 
 
 class Trainer:
@@ -240,21 +257,28 @@ class Trainer:
         self.seen = 0
 
     def update(self, w: np.ndarray, g2: np.ndarray, at, g: np.ndarray) -> None:
-        g2[at] += g * g
-        w[at] -= RATE * g / np.sqrt(g2[at])
+        seen = g2[at] + g * g
+        g2[at] = seen
+        w[at] -= RATE * g / np.sqrt(seen)
 
     def step(self, padded: np.ndarray, places: np.ndarray, leaves: np.ndarray) -> None:
         n = len(places)
         h, some, every = window(self.w, padded, places), leaves.astype(np.int32), np.arange(n)
         dh, changes = np.zeros_like(h), []
-        for level, rows, a, z, digit in levels(self.w, self.bias, h, some):
-            np.exp(z, out=z)
+        das = []
+        for level, _, a, z, digit in levels(self.w, self.bias, h, some):
+            z, total = powers(z)
+            z /= total
             z[every, digit] -= 1
             z /= n
             da = (z @ self.w[2][level].T) * (1 - a * a)
             dh += da
+            das.append(da)
             changes.append((2, level, a.T @ z))
-            changes += [(k, *by_row(at, da)) for k, at in rows]
+        _, [(_, d1)], [(_, d12)], [_, (_, d3)] = above(some)
+        changes += [(3, slice(None), by_digit(d1, das[1])), (6, slice(None), by_digit(d3, das[3]))]
+        at, g4, g5 = by_row(d12, das[2], das[3])
+        changes += [(4, at, g4), (5, at, g5)]
         for k, at, g in changes:
             self.update(self.w[k], self.g2[k], at, g)
         self.update(self.w[1], self.g2[1], slice(None), dh.sum(0))

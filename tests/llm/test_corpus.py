@@ -273,6 +273,45 @@ def test_threshold_is_the_middle_of_the_widest_best_gap():
     assert quality.best_cut([(0.0, 1), (1.0, 1)]) == quality.best_cut([]) == quality.best_cut([(0.0, 0), (0.0, 1)]) == quality.THRESHOLD
 
 
+def test_one_bound_does_for_rows_near_and_far():
+    rng = np.random.default_rng(2)
+    near = rng.normal(size=(50, 16)).astype(np.float32)
+    for z in (near, near - 30 * (near > 1), near + np.linspace(-300, 300, 50, dtype=np.float32)[:, None]):
+        wide = z.astype(np.float64)
+        want = wide - wide.max(1, keepdims=True)
+        want -= np.log(np.exp(want).sum(1, keepdims=True))
+        left = z.copy()
+        e, total = lmscore.powers(left)
+        assert np.allclose(left - np.log(total), want, atol=1e-3) and np.allclose(e / total, np.exp(want), atol=1e-4)
+
+
+def test_a_step_is_one_of_gradients_added_row_by_row():
+    rng = np.random.default_rng(3)
+    n, bias = 300, lmscore.biases(rng.integers(1, 9, lmscore.LEAVES))
+    leaves, classes = rng.integers(0, lmscore.LEAVES, n).astype(np.uint16), rng.integers(0, lmscore.CLASSES, n).astype(np.uint16)
+    padded, places, _ = lmscore.laid_out([(leaves, classes)])
+    t = lmscore.Trainer(lmscore.start_weights(), bias)
+    old = [w.astype(np.float64) for w in t.w]
+    t.step(padded, places, leaves)
+    some, want, dh = leaves.astype(int), [np.zeros_like(w) for w in old], np.zeros((n, lmscore.DIM))
+    h = sum(old[0][k][padded[places + o]] for k, o in enumerate(lmscore.OFFSETS)) + old[1]
+    for level, rows in enumerate(lmscore.above(some)):
+        a = np.tanh(h + sum(old[k][at] for k, at in rows))
+        p = np.exp(a @ old[2][level] + bias[level][some >> 4 * (4 - level)])
+        p /= p.sum(1, keepdims=True)
+        p[np.arange(n), some >> 4 * (3 - level) & 15] -= 1
+        da = (p / n @ old[2][level].T) * (1 - a * a)
+        dh += da
+        want[2][level] = a.T @ p / n
+        for k, at in rows:
+            np.add.at(want[k], at, da)
+    want[1] = dh.sum(0)
+    for k, o in enumerate(lmscore.OFFSETS):
+        np.add.at(want[0][k], padded[places + o], dh)
+    for w, g, new in zip(old, want, t.w, strict=True):
+        assert np.allclose(new, w - lmscore.RATE * g / np.sqrt(1e-4 + g * g), atol=1e-4)
+
+
 def toy(n=400, seed=1):
     """Texts in which a word is known from its neighbours on both sides."""
     rng = np.random.default_rng(seed)
