@@ -69,7 +69,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def compact(df: DataFrame, rows: int = 20_000) -> tuple[DataFrame, int]:
     """(df after a checkpoint, in no more partitions than one for each ``rows`` rows; its rows): what a loop has left may be far less than it began with."""
     out = checkpointed(df)
-    n = out.count()
+    n = out.coalesce(df.sparkSession.sparkContext.defaultParallelism).count()  # the driver keeps a record of every task
     return out.coalesce(n // rows + 1), n
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from graphloom.llm import simhash
+from graphloom.llm import common, simhash
 
 import brute
 
@@ -66,6 +66,19 @@ def test_a_large_group_of_near_copies(spark):
     assert judged(rows, simhash.drop_near_duplicates(frame(spark, rows)).collect()) == 0
 
 
+def test_counting_what_a_loop_has_left_takes_few_tasks(spark):
+    sc = spark.sparkContext
+    sc.setJobGroup("compact", "compact")
+    try:
+        out, n = common.compact(spark.range(0, 100, 1, 64))
+        last = max(sc.statusTracker().getJobIdsForGroup("compact"))
+        tasks = [sc.statusTracker().getStageInfo(i).numTasks for i in sc.statusTracker().getJobInfo(last).stageIds]
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert n == 100 and out.rdd.getNumPartitions() == 1 and sorted(r.id for r in out.collect()) == list(range(100))
+    assert max(tasks) <= sc.defaultParallelism < 64
+
+
 def test_the_stage_finds_a_copy_with_a_few_changed_words(spark):
     base = texts(1, 3, 0)[0].split()
     rows = [(0, " ".join(base), "x"), (1, " ".join([*base[:40], "changed", *base[41:]]), "x"), (2, "quite another text", "x")]
