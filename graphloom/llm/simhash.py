@@ -20,15 +20,18 @@ bits at most, and the covering masks make every such pair collide. Exact similar
 missed are those whose fingerprints all differ in more bits (recall 0.98 on 1 973 pairs of the test tables, 0.96 between 0.80 and 0.85).
 
 Its tables are looked up in rounds that grow, and what is similar to an earlier node of its bucket goes before the next round, so a large group
-of near copies is settled by its first members and never emitted as pairs. A bucket is compared with its first node, then with its next
-PIVOTS ones, then with more at a time, until nobody is left in it: no bucket is capped. Defined results of the stage: no two rows that stay are similar
+of near copies is settled by its first members and never emitted as pairs. A bucket of at most PIVOTS nodes is compared in pairs, a larger one
+with its first node. Those of larger buckets that stay are a crowd: alike, as most of their words are the same, but not similar to the first. They are
+not compared bucket by bucket, which would be every pair of them, but found by their rarest shingles (``rare_keys``): exactly, as each similar
+pair of the crowd shares one. The nodes of such a key are compared with its first one, then with its next ones, then with more at a time, until
+nobody is left: no bucket and no key is capped. Defined results of the stage: no two rows that stay are similar
 (but for that recall); each row that goes is a copy of an earlier row (by doc_id, null last) or similar to one; null, empty and blank
 texts are copies of each other; of rows equal in doc_id and text any one stays; an empty table gives no rows; all columns are kept.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -46,6 +49,8 @@ BUCKET = 64
 PRINTS, RADIUS, PIVOTS = 6, 3, 16
 #: Pairs that differ in more of the 64 * PRINTS bits aren't compared: of the pairs at 0.8 or more on the test tables none differs in more than half as many.
 FAR = 16 * PRINTS
+#: Counters of the shingles of a crowd; any number gives the same pairs, more of them tell rare shingles from common ones more sharply.
+SLOTS = 1 << 17
 MIX1, MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -274,30 +279,83 @@ def distance(a: Column, b: Column, prints: int) -> Column:
     return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(1, prints)), F.bit_count(F.get(a, F.lit(0)).bitwiseXOR(F.get(b, F.lit(0)))))
 
 
-def settled(rows: DataFrame, sets: DataFrame, similarity: float, prints: int, far: int, pivots: int, seen: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(node): the nodes of rows (node, least, prints, key, n) that are similar to an earlier one of their bucket that itself was met first.
+def overlapping(a: Column, b: Column, similarity: float) -> Column:
+    """Whether sets that share the shingle at places a and b (size, rest) of their orders may be similar: no more than the rest of either is shared."""
+    return F.least(a["rest"], b["rest"]) * (1 + similarity) + 0.001 >= (a["size"] + b["size"]) * similarity
 
-    seen: the pairs (a, b) compared so far; they are not compared again, and come back with those compared here.
+
+def rare_keys(crowd: DataFrame, sets: DataFrame, similarity: float, slots: int = SLOTS) -> tuple[DataFrame, int]:
+    """((node, least, at, met, key, n): the nodes of crowd (node, least, met) once for each key they share with others; how many rows that are).
+
+    All shingles have one order, rarest in the crowd first (by counters that several shingles may share, then by hash). Sets that are similar
+    share similarity / (1 + similarity) of the sum of their sizes, so the first shingle that they share has that many left, itself
+    included, in either set. So only the first shingles of a set are its keys. What all the crowd has in common comes last in the order.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(slots, np.int64)
+        for batch in batches:
+            for found in batch.column(0).to_pylist():
+                np.add.at(total, (np.frombuffer(found, np.uint64) % np.uint64(slots)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
+
+    of = sets.join(crowd, "node")
+    counts = of.select("found").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    common = np.zeros(slots, np.int64)
+    common[counts.column("slot").to_numpy()] = counts.column("n").to_numpy()
+    common = common.clip(max=(1 << 31) - 1).astype(np.int32)  # travels with the tasks
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 100) for i in range(0, batch.num_rows, 100)):
+                out, sizes, rests = [], [], []
+                for found in part.column(3).to_pylist():
+                    x = np.frombuffer(found, np.uint64)
+                    order = np.lexsort((x, common[(x % np.uint64(slots)).astype(np.int64)]))
+                    out.append(x[order[: int(len(x) * (1 - similarity) + 0.001) + 1]])
+                    sizes.append(len(x))
+                    rests.append(len(x) - np.arange(len(out[-1])))
+                times = [len(k) for k in out]
+                many = lambda i: part.column(i).take(pa.array(np.repeat(np.arange(part.num_rows), times)))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([*map(many, range(3)), pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(sizes, times)), pa.array(np.concatenate(rests))], names=["node", "least", "met", "key", "size", "rest"])
+
+    rows = of.select("node", "least", "met", "found").mapInArrow(keys, "node long, least long, met boolean, key long, size long, rest long")
+    rows = compact(rows.select("node", "least", F.struct("size", "rest").alias("at"), "met", "key"))[0]
+    # beside the smallest set of its key a set may be too large to have this shingle among its first ones
+    least = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("at.size").alias("few")).filter("n > 1").select("key", "few")
+    rows = rows.join(least.hint("shuffle_hash"), "key").filter(overlapping(F.col("at"), F.struct(F.col("few").alias("size"), F.col("at.rest").alias("rest")), similarity))
+    return crowded(compact(rows.drop("few"))[0])
+
+
+def settled(rows: DataFrame, sets: DataFrame, similarity: float, near: Callable[[Column, Column], Column], pivots: int, seen: DataFrame | None, once: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(node): the nodes of rows (node, least, at, met, key, n) that are similar to an earlier one of their key that itself was met first.
+
+    Pairs are compared only if ``near`` of their ``at`` holds and not both have been ``met``.
+    seen: the pairs (a, b) compared so far; they are not compared again, and come back with those compared here. Then come the rows that are left
+    and their number: none, or with ``once`` what is left of large keys that were compared with their first node only.
     """
     gone, most, open_ = None, 0, 1
     while open_:
         if most:
             rank = F.row_number().over(Window.partitionBy("key").orderBy("least", "node"))  # the planner keeps ``most`` of a key in each task
-            first = rows.withColumn("rank", rank).filter(F.col("rank") <= most).select("key", "least", "node", "prints")
+            first = rows.withColumn("rank", rank).filter(F.col("rank") <= most).select("key", "least", "node", "at", "met")
         else:  # a large bucket may be a group of near copies: its first node settles most of it
-            one = rows.filter(F.col("n") > pivots).groupBy("key").agg(F.min(F.struct("least", "node", "prints")).alias("p")).select("key", "p.*")
-            first = one.unionByName(rows.filter(F.col("n") <= pivots).select("key", "least", "node", "prints"))
+            one = rows.filter(F.col("n") > pivots).groupBy("key").agg(F.min(F.struct("least", "node", "at", "met")).alias("p")).select("key", "p.*")
+            first = one.unionByName(rows.filter(F.col("n") <= pivots).select("key", "least", "node", "at", "met"))
         first = compact(first)[0]
-        both = rows.join(first.select("key", F.col("node").alias("a"), F.col("least").alias("a_least"), F.col("prints").alias("a_prints")), "key")
-        both = both.filter((F.struct("a_least", "a") < F.struct("least", "node")) & (distance(F.col("a_prints"), F.col("prints"), prints) <= far))
-        pairs = both.select("a", F.col("node").alias("b")).distinct()
+        both = rows.join(first.select("key", *(F.col(c).alias(f"a_{c}") for c in ("node", "least", "at", "met"))), "key")
+        both = both.filter((F.struct("a_least", "a_node") < F.struct("least", "node")) & ~(F.col("a_met") & F.col("met")) & near(F.col("a_at"), F.col("at")))
+        pairs = both.select(F.col("a_node").alias("a"), F.col("node").alias("b")).distinct()
         pairs = compact(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))[0]
         seen = pairs if seen is None else seen.unionByName(pairs)
         out = compact(similar_pairs(pairs, sets, similarity))[0]
         gone = out if gone is None else gone.unionByName(out)
         rows, open_ = crowded(rows.drop("n").join(first.select("key", "node"), ["key", "node"], "left_anti").join(out, "node", "left_anti"))
+        if once:
+            break
         most = min(4 * most, 16 * pivots) if most else 2 * pivots
-    return gone.distinct(), seen
+    return gone.distinct(), seen, rows, open_
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, prints: int = PRINTS, radius: int = RADIUS, far: int = FAR, pivots: int = PIVOTS) -> DataFrame:
@@ -306,16 +364,27 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
     last = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("one")
     nodes, _ = compact(found.groupBy("node").agg(F.min(last).alias("least"), one, F.any_value("prints").alias("prints")).select("node", "least", F.col("one.key").alias("key"), "prints"), 5_000)
-    gone = seen = None
+    gone = seen = crowd = None
     for some in rounds(prints, radius):
         left = nodes if gone is None else nodes.join(gone, "node", "left_anti")
         rows, n = crowded(bucket_keys(left, some))
         release(docs.sparkSession)
         if not n:
             continue
-        rows = compact(rows.join(left.select("node", "least", "prints"), "node"))[0]
+        of = left.select("node", "least", F.col("prints").alias("at"))
+        if crowd is None:
+            of = of.withColumn("met", F.lit(False))
+        else:  # all similar pairs of the last crowd have been found
+            of = of.join(crowd.select("node", F.lit(True).alias("met")), "node", "left").fillna(False, ["met"])
+        rows = compact(rows.join(of, "node"))[0]
         sets = shingle_sets(docs, left.join(rows, "node", "left_semi").select("key"), width)
-        new, seen = settled(rows, sets, similarity, prints, far, pivots, seen)
+        new, seen, rows, n = settled(rows, sets, similarity, lambda a, b: distance(a, b, prints) <= far, pivots, seen, once=True)
+        if n:
+            crowd = compact(rows.select("node", "least", "met").distinct())[0]
+            rows, n = rare_keys(crowd, sets, similarity)
+        if n:
+            more, seen, _, _ = settled(rows, sets, similarity, lambda a, b: overlapping(a, b, similarity), pivots, seen)
+            new = new.unionByName(more)
         gone = compact(new if gone is None else gone.unionByName(new))[0]
         release(docs.sparkSession)
     stay = (nodes if gone is None else nodes.join(gone, "node", "left_anti")).select(F.col("key").alias("_s_key"))

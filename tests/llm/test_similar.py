@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -83,3 +84,54 @@ def test_the_stage_finds_a_copy_with_a_few_changed_words(spark):
     base = texts(1, 3, 0)[0].split()
     rows = [(0, " ".join(base), "x"), (1, " ".join([*base[:40], "changed", *base[41:]]), "x"), (2, "quite another text", "x")]
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame(spark, rows), "").collect()) == [0, 2]
+
+
+def crowd_of(n, seed=11):
+    """Texts of one base that differ from it, and nearly all from each other, in too many words to be similar, and near copies of every tenth."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(150)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for at in rng.sample(range(3, 147, 6), 5):
+            w[at] = word()
+        out.append(" ".join(w))
+        if not i % 10:
+            w[rng.choice((0, 149))] = word()
+            out.append(" ".join(w))
+    rng.shuffle(out)
+    return [" ".join(base), *out]
+
+
+def test_a_crowd_that_is_not_similar_is_not_compared_in_pairs(spark, monkeypatch):
+    rows = [(i, t, "x") for i, t in enumerate(crowd_of(200))]
+    compared, similar_pairs = [], simhash.similar_pairs
+
+    def counted(pairs, sets, similarity):
+        compared.append(pairs.count())
+        return similar_pairs(pairs, sets, similarity)
+
+    monkeypatch.setattr(simhash, "similar_pairs", counted)
+    got = simhash.drop_near_duplicates(frame(spark, rows), pivots=1).collect()
+    assert judged(rows, got) == 0 and len(got) == 201 and len(rows) == 221
+    assert sum(compared) < 15 * len(rows)
+
+
+@pytest.mark.parametrize("slots", [1 << 17, 4])
+def test_similar_sets_of_any_size_share_a_rare_key(spark, slots):
+    rng = random.Random(6)
+    found = []
+    for _ in range(40):
+        base = rng.sample(range(1 << 62), rng.randint(1, 60))
+        for _ in range(4):
+            found.append(np.unique(np.array([x for x in base if rng.random() < 0.95] + rng.sample(base, 1) + rng.sample(range(1 << 62), rng.randint(0, 6)), np.uint64)))
+    found += [np.zeros(0, np.uint64), found[0]]
+    sets = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(found)], "node long, found binary").repartition(3)
+    crowd = spark.createDataFrame([(i, i, False) for i in range(len(found))], "node long, least long, met boolean")
+    rows, n = simhash.rare_keys(crowd, sets, 0.8, slots)
+    a, b = rows.alias("a"), rows.alias("b")
+    both = a.join(b, "key").filter("a.node < b.node").filter(simhash.overlapping(simhash.F.col("a.at"), simhash.F.col("b.at"), 0.8))
+    got = {(r[0], r[1]) for r in both.select("a.node", "b.node").collect()}
+    want = {(i, j) for j, y in enumerate(found) for i, x in enumerate(found[:j]) if simhash.jaccard(x, y) >= 0.8}
+    assert rows.count() == n and len(want) > 30 and want <= got
