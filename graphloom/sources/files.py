@@ -18,16 +18,23 @@ from ..session import checkpointed
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value): the lines of a text file from 0, in file order."""
-    lines = spark.read.text(path).withColumn("_at", F.monotonically_increasing_id())
-    lines = checkpointed(lines.withColumn("_part", F.shiftright("_at", 33)))
-    counts = sorted(lines.groupBy("_part").agg(F.count("*").alias("c")).collect(), key=lambda r: r["_part"])  # one row per partition
+    """(line, value): the lines of a text file, or of a folder's files in the order of their names, from 0.
+
+    Spark deals slices of files to partitions by size, so a partition's place says nothing: lines are counted in each slice, and the slices are
+    ordered by file name and place. Inside a slice, rows come in file order.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    names = sorted(r["_file"] for r in lines.select("_file").distinct().collect())  # one row per file
+    files = F.broadcast(spark.createDataFrame(list(zip(names, range(len(names)), strict=True)), "_file string, _place int"))
+    lines = lines.withColumn("_at", F.monotonically_increasing_id()).join(files, "_file").select("_place", "_start", "_at", "value")
+    lines = checkpointed(lines)
+    counts = lines.groupBy("_place", "_start").agg(F.count("*").alias("c"), F.min("_at").alias("first")).collect()  # one row per slice
     offsets, total = [], 0
-    for r in counts:
-        offsets.append((r["_part"], total))
+    for r in sorted(counts, key=lambda r: (r["_place"], r["_start"])):
+        offsets.append((r["_place"], r["_start"], total - r["first"]))
         total += r["c"]
-    o = F.broadcast(spark.createDataFrame(offsets, "_part long, _offset long"))
-    return lines.join(o, "_part").select((F.col("_offset") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias("line"), "value")
+    o = F.broadcast(spark.createDataFrame(offsets, "_place int, _start long, _shift long"))
+    return lines.join(o, ["_place", "_start"]).select((F.col("_at") + F.col("_shift")).alias("line"), "value")
 
 
 def read_metis(spark: SparkSession, path: str) -> Graph:

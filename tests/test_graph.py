@@ -263,3 +263,19 @@ def test_partition_files(spark, tmp_path):
     files.write_block_sizes(p, 4, str(tmp_path / "s"))
     q = files.read_block_sizes(spark, str(tmp_path / "s"), p.select("id"))
     assert [r["block"] for r in q.orderBy("id").collect()] == [0, 0, 1, 2, 2, 2]
+
+
+def test_lines_are_numbered_in_file_order_whatever_the_sizes(spark, tmp_path):
+    lines, at = [], 0
+    for i, count in enumerate((3, 4000, 50, 700)):
+        mine = [f"{at + j}" for j in range(count)]
+        (tmp_path / f"part-{i:05d}.txt").write_text("\n".join(mine) + "\n")
+        lines, at = lines + mine, at + count
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (old, "5000", "40000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = files.numbered_lines(spark, str(tmp_path)).orderBy("line").collect()
+            assert [(r["line"], r["value"]) for r in got] == list(enumerate(lines))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
