@@ -279,3 +279,17 @@ def test_lines_are_numbered_in_file_order_whatever_the_sizes(spark, tmp_path):
             assert [(r["line"], r["value"]) for r in got] == list(enumerate(lines))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_pairs_run_over_all_ids_of_a_group(spark):
+    ids = [1, 5, 65_534, 65_535, 65_536, 70_000, 200_000]
+    nodes = spark.createDataFrame([(i, 1) for i in ids], "id long, weight long")
+    g = Graph(nodes, spark.createDataFrame([], "src long, dst long, weight long"))
+    got = {r["id"]: r["cluster"] for r in clustering.isolated_clusters(g, clustering.singletons(g), 2).collect()}
+    assert got == {1: 1, 5: 1, 65_534: 65_534, 65_535: 65_534, 65_536: 65_536, 70_000: 65_536, 200_000: 200_000}
+    communities = spark.createDataFrame([(i, int(i > 5 and i != 70_000)) for i in ids], "id long, community long")
+    got = {r["id"]: r["cluster"] for r in clustering.isolated_clusters(g, clustering.singletons(g), 2, communities=communities).collect()}
+    assert got == {1: 1, 5: 1, 70_000: 70_000, 65_534: 65_534, 65_535: 65_534, 65_536: 65_536, 200_000: 65_536}
+    many = spark.range(70_001).select("id", F.lit(7).alias("g")).unionByName(spark.createDataFrame([(100_000, 8), (100_001, 8)], "id long, g int"))
+    pairs = clustering.paired(many, "g")
+    assert pairs.filter("leader <> case when g_id < 70001 then g_id - g_id % 2 else 100000 end".replace("g_id", "id")).isEmpty() and pairs.count() == 70_003
