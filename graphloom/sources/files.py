@@ -6,7 +6,8 @@ so its lines are numbered first: per-partition counts give the offsets, and no l
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -103,54 +104,128 @@ def parhip_bytes(xadj: np.ndarray, adj: np.ndarray, vw: np.ndarray | None = None
     return b"".join(p.astype("<u8").tobytes() for p in parts + [x for x in (vw, ew) if x is not None])
 
 
+#: What a task of the binary form holds at once: so many nodes or edges.
+STEP = 1 << 20
+
+
 def write_parhip(graph: Graph, path: str) -> None:
-    """One local binary file; for graphs that fit the driver."""
-    xadj, adj, vw, ew = graph.to_csr()
-    with open(path, "wb") as f:
-        f.write(parhip_bytes(xadj, adj, None if (vw == 1).all() else vw, None if (ew == 1).all() else ew))
+    """One binary file under a path that driver and executors see as a local one: each task writes its own slices of it.
 
+    Edges are numbered in the order of (src, dst) and nodes by id; the driver holds a row for each partition.
+    """
+    from ..operators.metrics import degrees
 
-def _ranges(offsets: np.ndarray, parts: int, by: str = "edges") -> list[tuple[int, int]]:
-    """Contiguous node ranges: equal nodes, or about equal edges, or about equal bytes (edges plus a node's own entry)."""
-    n = len(offsets) - 1
-    load = np.arange(n + 1) if by == "nodes" else offsets - offsets[0] + (np.arange(n + 1) if by == "bytes" else 0)
-    cuts = np.searchsorted(load, np.linspace(0, load[-1], parts + 1)[1:-1])
-    edges = [0, *np.maximum.accumulate(cuts).tolist(), n]
+    spark, n, m = graph.nodes.sparkSession, graph.n(), graph.m()
+    has_vw, has_ew = (not x.filter("weight <> 1").isEmpty() for x in (graph.nodes, graph.edges))
+    start = PARHIP_HEADER + 8 * (n + 1)
+    after = start + 8 * m
+    with open(path, "wb") as f:
+        f.write(np.array([(not has_ew) | (not has_vw) << 1, n, m], "<u8").tobytes())
+        f.truncate(after + 8 * n * has_vw + 8 * m * has_ew)
+        f.seek(PARHIP_HEADER + 8 * n)
+        f.write(np.array([after], "<u8").tobytes())
+    numbers = lambda batch: [c.to_numpy() for c in batch.columns]
+
+    def runs(at: np.ndarray) -> list[tuple[int, int]]:
+        """Stretches of consecutive numbers."""
+        edges = [0, *(np.flatnonzero(np.diff(at) != 1) + 1).tolist(), len(at)]
+        return [(a, b) for a, b in zip(edges, edges[1:], strict=False) if b > a]
+
+    def put_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, before = 0, None
+        with open(path, "r+b") as f:
+            for ids, degree, weight, first in map(numbers, batches):
+                if not len(ids):
+                    continue
+                before = first[0] if before is None else before
+                xadj = before + np.cumsum(degree) - degree
+                before, done = before + degree.sum(), done + len(ids)
+                for a, b in runs(ids):
+                    f.seek(PARHIP_HEADER + 8 * int(ids[a]))
+                    f.write((xadj[a:b] * 8 + start).astype("<u8").tobytes())
+                    if has_vw:
+                        f.seek(after + 8 * int(ids[a]))
+                        f.write(weight[a:b].astype("<u8").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([done])], names=["done"])
+
+    def put_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0
+        with open(path, "r+b") as f:
+            for at, dst, weight in map(numbers, batches):
+                done += len(at)
+                for a, b in runs(at):
+                    f.seek(start + 8 * int(at[a]))
+                    f.write(dst[a:b].astype("<u8").tobytes())
+                    if has_ew:
+                        f.seek(after + 8 * (n * has_vw + int(at[a])))
+                        f.write(weight[a:b].astype("<u8").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([done])], names=["done"])
+
+    nodes = degrees(graph).join(graph.nodes, "id").select("id", "degree", "weight").repartitionByRange("id").sortWithinPartitions("id")
+    nodes = checkpointed(nodes.withColumn("_part", F.spark_partition_id()))
+    offsets, total = [], 0
+    for r in nodes.groupBy("_part").agg(F.sum("degree").alias("d")).orderBy("_part").collect():  # one row per partition
+        offsets.append((r["_part"], total))
+        total += r["d"]
+    nodes = nodes.join(F.broadcast(spark.createDataFrame(offsets, "_part int, _first long")), "_part").select("id", "degree", "weight", "_first")
+    edges = dense_ids(graph.edges.select(F.struct("src", "dst").alias("key"), "weight"), "key", "at").select("at", F.col("key.dst").alias("dst"), "weight")
+    for rows, put, count in ((nodes, put_nodes, n), (edges, put_edges, m)):
+        done = rows.mapInArrow(put, "done long").agg(F.sum("done")).first()[0] or 0
+        if done != count:
+            raise ValueError(f"{path}: {done} of {count} rows written")
+
+
+def _ranges(offset: Callable[[int], int], n: int, parts: int, by: str = "edges") -> list[tuple[int, int]]:
+    """Contiguous node ranges: equal nodes, or about equal edges, or about equal bytes (edges plus a node's own entry). Few offsets are looked at."""
+    load = (lambda i: i) if by == "nodes" else lambda i: offset(i) - offset(0) + (i if by == "bytes" else 0)
+    cuts = [bisect_left(range(n + 1), load(n) * r / parts, key=load) for r in range(1, parts)]
+    edges = [0, *cuts, n]
     return [(a, b) for a, b in zip(edges, edges[1:], strict=False) if b > a]
 
 
-def read_parhip(spark: SparkSession, path: str, parts: int = 8, by: str = "edges") -> Graph:
-    """Node ranges are read side by side: each task seeks to its own slices of the file, which all executors must see as a local path."""
+def read_parhip(spark: SparkSession, path: str, parts: int | None = None, by: str = "edges") -> Graph:
+    """Node ranges are read side by side: each task seeks to its own slices of the file, which all executors must see as a local path.
+
+    The frames read the file whenever they are used. parts: 8, or as many as leave each about ``STEP`` nodes and edges.
+    """
     with open(path, "rb") as f:
-        version, n, m = np.frombuffer(f.read(PARHIP_HEADER), "<u8").astype(int)
-        edge_id = 4 if version & 4 else 8
-        offsets = np.frombuffer(f.read(edge_id * (n + 1)), f"<u{edge_id}").astype(np.int64)
-    node_id, vw_size, ew_size = (4 if version & b else 8 for b in (8, 16, 32))
+        version, n, m = (int(x) for x in np.frombuffer(f.read(PARHIP_HEADER), "<u8"))
+    edge_id, node_id, vw_size, ew_size = (4 if version & b else 8 for b in (4, 8, 16, 32))
     has_vw, has_ew = not version & 2, not version & 1
     start = PARHIP_HEADER + edge_id * (n + 1)
-    xadj = (offsets - start) // node_id
-    jobs = spark.createDataFrame([(a, b, int(xadj[a]), int(xadj[b])) for a, b in _ranges(xadj, parts, by)], "a long, b long, e long, f long").repartition(parts)
-
-    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    after = start + node_id * m
+    raw = np.memmap(path, f"<u{edge_id}", "r", PARHIP_HEADER, (n + 1,))
+    offset = lambda i: (int(raw[i]) - start) // node_id
+    step = STEP
+    parts = max(8, -(-(n + m) // step)) if parts is None else parts
+    jobs = spark.createDataFrame(_ranges(offset, n, parts, by), "a long, b long").repartition(parts)
+
+    def at(f, place: int, count: int, size: int) -> np.ndarray:
+        f.seek(place)
+        return np.frombuffer(f.read(size * count), f"<u{size}").astype(np.int64)
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
         for batch in batches:
-            for a, b, e, g in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                with open(path, "rb") as f:
-                    def at(place: int, count: int, size: int) -> np.ndarray:
-                        f.seek(place)
-                        return np.frombuffer(f.read(size * count), f"<u{size}").astype(np.int64)
-
-                    mine = (at(PARHIP_HEADER + edge_id * a, b - a + 1, edge_id) - start) // node_id
-                    adj = at(start + node_id * e, g - e, node_id)
-                    after = start + node_id * m
-                    vw = at(after + vw_size * a, b - a, vw_size) if has_vw else np.ones(b - a, np.int64)
-                    ew = at(after + vw_size * n * has_vw + ew_size * e, g - e, ew_size) if has_ew else np.ones(g - e, np.int64)
-                src = np.repeat(np.arange(a, b), np.diff(mine))
-                none = pa.nulls(len(src), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, b)), pa.array(vw), pa.nulls(b - a, pa.int64()), pa.nulls(b - a, pa.int64()), pa.nulls(b - a, pa.int64())], names=["id", "vw", "src", "dst", "weight"])
-                yield pa.RecordBatch.from_arrays([none, none, pa.array(src), pa.array(adj), pa.array(ew)], names=["id", "vw", "src", "dst", "weight"])
-
-    both = checkpointed(jobs.mapInArrow(load, "id long, vw long, src long, dst long, weight long"))
-    return Graph(both.filter("id is not null").select("id", F.col("vw").alias("weight")), both.filter("src is not null").select("src", "dst", "weight"))
+            for a, b in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                yield from ((x, min(x + step, b)) for x in range(a, b, step))
+
+    def load_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with open(path, "rb") as f:
+            for a, b in stretches(batches):
+                vw = at(f, after + vw_size * a, b - a, vw_size) if has_vw else np.ones(b - a, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, b)), pa.array(vw)], names=["id", "weight"])
+
+    def load_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with open(path, "rb") as f:
+            for a, b in stretches(batches):
+                xadj = (at(f, PARHIP_HEADER + edge_id * a, b - a + 1, edge_id) - start) // node_id
+                for e in range(int(xadj[0]), int(xadj[-1]), step):  # a hub's edges too come in pieces
+                    g = min(e + step, int(xadj[-1]))
+                    src = np.searchsorted(xadj, np.arange(e, g), "right") - 1 + a
+                    ew = at(f, after + vw_size * n * has_vw + ew_size * e, g - e, ew_size) if has_ew else np.ones(g - e, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(at(f, start + node_id * e, g - e, node_id)), pa.array(ew)], names=["src", "dst", "weight"])
+
+    return Graph(jobs.mapInArrow(load_nodes, "id long, weight long"), jobs.mapInArrow(load_edges, "src long, dst long, weight long"), {"n": n, "m": m})
 
 
 def write_columnar(graph: Graph, path: str) -> None:

@@ -293,3 +293,30 @@ def test_pairs_run_over_all_ids_of_a_group(spark):
     many = spark.range(70_001).select("id", F.lit(7).alias("g")).unionByName(spark.createDataFrame([(100_000, 8), (100_001, 8)], "id long, g int"))
     pairs = clustering.paired(many, "g")
     assert pairs.filter("leader <> case when g_id < 70001 then g_id - g_id % 2 else 100000 end".replace("g_id", "id")).isEmpty() and pairs.count() == 70_003
+
+
+def test_compressed_rows_and_binary_form_never_reach_the_driver(spark, tmp_path, monkeypatch):
+    n = 3000
+    pairs = {(0, i) for i in range(1, n - 5, 2)} | {(i, (i * 7) % (n - 5)) for i in range(n - 5)}
+    half = sorted({(min(p), max(p)) for p in pairs if p[0] != p[1]})
+    both = sorted([(a, b, 1 + (a + b) % 5) for a, b in half] + [(b, a, 1 + (a + b) % 5) for a, b in half])
+    nodes = [(i, 1 + i % 3) for i in range(n)]  # the last five have no edge
+    g = Graph(spark.createDataFrame(nodes, "id long, weight long"), spark.createDataFrame(both, "src long, dst long, weight long")).checkpointed()
+    xadj, adjncy, vw, ew = g.to_csr()
+    files_path = tmp_path / "g.parhip"
+
+    def never(self):
+        raise AssertionError("the whole graph in the driver")
+
+    monkeypatch.setattr(Graph, "to_csr", never)
+    monkeypatch.setattr(files, "STEP", 1000)
+    for parts in (1, 5):
+        back = Graph.from_ranks(g.to_ranks(parts, 100))
+        assert sorted(map(tuple, back.edges.collect())) == both and sorted(map(tuple, back.nodes.collect())) == nodes
+    for graph, v, e in ((g, vw, ew), (g.unweighted(), None, None), (g.unweighted(nodes=False), vw, None)):
+        files.write_parhip(graph, str(files_path))
+        assert files_path.read_bytes() == files.parhip_bytes(xadj, adjncy, v, e)
+        for by in ("nodes", "edges", "bytes"):
+            h = files.read_parhip(spark, str(files_path), by=by)
+            assert sorted(map(tuple, h.edges.collect())) == [(a, b, w if e is not None else 1) for a, b, w in both]
+            assert sorted(map(tuple, h.nodes.collect())) == (nodes if v is not None else [(i, 1) for i in range(n)])
