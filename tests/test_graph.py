@@ -320,3 +320,35 @@ def test_compressed_rows_and_binary_form_never_reach_the_driver(spark, tmp_path,
             h = files.read_parhip(spark, str(files_path), by=by)
             assert sorted(map(tuple, h.edges.collect())) == [(a, b, w if e is not None else 1) for a, b, w in both]
             assert sorted(map(tuple, h.nodes.collect())) == (nodes if v is not None else [(i, 1) for i in range(n)])
+
+
+def test_shuffles_are_sized_by_the_input(spark, sf, monkeypatch):
+    from graphloom import session
+    from graphloom.sources import tables
+
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes")
+    old = [spark.conf.get(x) for x in names]
+    try:
+        for x, value in zip(names, ("4", "64MB", "128MB"), strict=True):
+            spark.conf.set(x, value)
+        monkeypatch.setattr(session, "INPUT_BYTES", 10_000)
+        tables.table(spark, sf, "lineitem")
+        wide = int(spark.conf.get(names[0]))
+        assert wide >= 11  # 116 347 bytes
+        assert [int(spark.conf.get(x)) for x in names[1:]] == [session.MERGED_BYTES, session.READ_BYTES]
+        tables.table(spark, sf, "supplier")
+        assert int(spark.conf.get(names[0])) == wide  # never coarser
+    finally:
+        for x, value in zip(names, old, strict=True):
+            spark.conf.set(x, value)
+
+
+def test_keys_are_numbered_without_counting_edges(spark, tmp_path):
+    from graphloom.sources import tables
+
+    lines = [(1, 10), (1, 10), (1, 20), (2, 30), (3, 20), (3, 10), (3, None), (4, None), (4, 50), (None, 60), (5, 40), (5, 10)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    g = tables.copurchase(spark, str(tmp_path))
+    assert sorted(map(tuple, g.edges.collect())) == [(0, 1, 2), (0, 2, 1), (1, 0, 2), (2, 0, 1)] and g.n() == 3  # parts 10, 20, 40
+    b = tables.bipartite(spark.createDataFrame([(1, 1), (1, 1), (3, 1)], "a long, b long"), "a", "b")
+    assert sorted(map(tuple, b.edges.collect())) == [(0, 2, 2), (1, 2, 1), (2, 0, 2), (2, 1, 1)] and b.n() == 3
