@@ -352,3 +352,12 @@ def test_keys_are_numbered_without_counting_edges(spark, tmp_path):
     assert sorted(map(tuple, g.edges.collect())) == [(0, 1, 2), (0, 2, 1), (1, 0, 2), (2, 0, 1)] and g.n() == 3  # parts 10, 20, 40
     b = tables.bipartite(spark.createDataFrame([(1, 1), (1, 1), (3, 1)], "a long, b long"), "a", "b")
     assert sorted(map(tuple, b.edges.collect())) == [(0, 2, 2), (1, 2, 1), (2, 0, 2), (2, 1, 1)] and b.n() == 3
+
+
+def test_best_of_carries_each_edge_once(spark, star):
+    parts = [part(spark, b) for b in ([0, 1, 1, 1, 1], [1, 1, 1, 1, 1], [0, 0, 0, 1, 1], [0, 1, 2, 3, 4])]
+    assert tuple(metrics.best_of(star, parts, 8).first()) == (1, 0, 8) and tuple(metrics.best_of(star, parts, 6).first()) == (2, 6, 6)
+    out = metrics.best_of(star, parts, 4)
+    assert tuple(out.first())[1:] == (12, 4)  # two are as good
+    joins = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert not [line for line in joins if "dst#" in line and "rep#" in line]  # edges meet labels by node alone
