@@ -361,3 +361,51 @@ def test_best_of_carries_each_edge_once(spark, star):
     assert tuple(out.first())[1:] == (12, 4)  # two are as good
     joins = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
     assert not [line for line in joins if "dst#" in line and "rep#" in line]  # edges meet labels by node alone
+
+
+@pytest.fixture
+def small_ranges(monkeypatch):
+    """Packed ranges of few edges, so that a small graph has many."""
+    from graphloom.operators import supersteps
+
+    monkeypatch.setattr(supersteps, "PART_EDGES", 700)
+
+
+def tuples(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def test_supersteps_are_the_joins(spark, sf, small_ranges):
+    from graphloom.operators import clustering, refinement, supersteps
+    from graphloom.sources import tables
+
+    g = tables.supplier_part(spark, sf).checkpointed()
+    g = Graph(g.nodes.select("id", (1 + F.col("id") % 3).alias("weight")), g.edges)
+    c = g.nodes.select("id", (F.floor(F.col("id") / 5) * 5).cast("long").alias("cluster"))
+    odd = clustering.chunk_edges(g.edges, 1, 2, 3)
+    assert tuples(clustering.propagation(g, c, clustering.cluster_weights(g, c), 18, (1, 2, 3))) == tuples(clustering.proposals(g, c, 18, odd)) != []
+    free = g.nodes.filter("id % 3 <> 0").select("id")
+    assert tuples(clustering.matching(g, free, 4)) == tuples(clustering.hem_proposals(g, free, 4)) != []
+    p = g.nodes.select("id", F.when(F.col("id") % 3 == 0, F.col("id") % 4).otherwise(F.col("id") % 2).cast("int").alias("block"))
+    lim = spark.createDataFrame([(b, 10, g.total_node_weight() // 4 + 3 * b) for b in range(4)], "block int, min_weight long, max_weight long")
+    state = refinement.rooms(g, p, lim, 4)
+    joins = refinement.proposals(g, p, state, odd).select("id", "from", "to", "gain", "weight")
+    assert tuples(refinement.picked(g, p, state, 4, (1, 2, 3))) == tuples(joins) != []
+    assert tuples(refinement.jet_moves(g, p, 0.5)) == tuples(refinement.jet_filter(g.edges, p, refinement.jet_find(g.edges, p, 0.5))) != []
+    assert tuples(supersteps.edge_cut(g, p)) == tuples(metrics.edge_cut(g, p))
+    coarse = g.nodes.select("id", (F.col("id") % 50).alias("coarse_id"))
+    joins = metrics.with_blocks(g.edges, coarse, "coarse_id").filter("bu <> bv").groupBy("bu", "bv").agg(F.sum("weight"))
+    assert tuples(supersteps.contracted_edges(g, coarse)) == tuples(joins)
+    assert len({r["part"] for r in supersteps.packed(g).edges.select("part").collect()}) > 2
+
+
+def test_packed_edges_stay_where_they_are(spark, sf, small_ranges):
+    """Only states travel: no exchange lies between the packed edges and the superstep."""
+    from graphloom.operators import supersteps
+    from graphloom.sources import tables
+
+    g = tables.supplier_part(spark, sf).checkpointed()
+    step = supersteps.superstep(g, g.nodes.select("id", F.lit(0).alias("block")), supersteps.cut_weight, "cut long")
+    plan = step._jdf.queryExecution().executedPlan().toString()
+    edges = plan[: plan.index("InMemoryTableScan")]
+    assert "Exchange" not in edges
