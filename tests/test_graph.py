@@ -409,3 +409,16 @@ def test_packed_edges_stay_where_they_are(spark, sf, small_ranges):
     plan = step._jdf.queryExecution().executedPlan().toString()
     edges = plan[: plan.index("InMemoryTableScan")]
     assert "Exchange" not in edges
+
+
+def test_coloring_takes_few_supersteps(spark, sf, small_ranges, monkeypatch):
+    """Waiting for one another in the order of a hash, 210 nodes took dozens of rounds; sides of different degrees take few."""
+    from graphloom.operators import refinement, supersteps
+    from graphloom.sources import tables
+
+    g = tables.supplier_part(spark, sf).checkpointed()
+    steps, step = [], supersteps.superstep
+    monkeypatch.setattr(supersteps, "superstep", lambda *a: steps.append(1) or step(*a))
+    c = refinement.coloring(g).checkpoint()
+    assert len(steps) <= 3 and c.count() == 210
+    assert metrics.with_blocks(g.edges, c, "color").filter("bu = bv").count() == 0
