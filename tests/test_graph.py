@@ -11,7 +11,7 @@ from graphloom.functions import integers as I  # noqa: N812
 from graphloom.functions import sub_blocks as S  # noqa: N812
 from graphloom.graph import Graph
 from graphloom.operators import clustering, metrics, moves, refinement, select, transforms, traversal
-from graphloom.sources import files, generators
+from graphloom.sources import files, generators, tables
 
 
 def part(spark, blocks):
@@ -422,3 +422,12 @@ def test_coloring_takes_few_supersteps(spark, sf, small_ranges, monkeypatch):
     c = refinement.coloring(g).checkpoint()
     assert len(steps) <= 3 and c.count() == 210
     assert metrics.with_blocks(g.edges, c, "color").filter("bu = bv").count() == 0
+
+
+def test_copurchase_counts_orders_and_meets_no_null(spark, tmp_path):
+    lines = [(1, 10), (1, 20), (1, 20), (2, 20), (2, 10), (3, 30), (4, 20), (4, 40), (4, 10), (None, 50), (None, 60), (5, None), (5, 40)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    g = tables.copurchase(spark, str(tmp_path))
+    assert sorted(r.id for r in g.nodes.collect()) == [0, 1, 2]  # 10, 20, 40: parts of orders without a key are no pair
+    assert sorted(map(tuple, g.edges.collect())) == [(0, 1, 3), (0, 2, 1), (1, 0, 3), (1, 2, 1), (2, 0, 1), (2, 1, 1)]
+    assert g.edges.groupBy("src").count()._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(src") == 1
