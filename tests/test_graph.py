@@ -431,3 +431,41 @@ def test_copurchase_counts_orders_and_meets_no_null(spark, tmp_path):
     assert sorted(r.id for r in g.nodes.collect()) == [0, 1, 2]  # 10, 20, 40: parts of orders without a key are no pair
     assert sorted(map(tuple, g.edges.collect())) == [(0, 1, 3), (0, 2, 1), (1, 0, 3), (1, 2, 1), (2, 0, 1), (2, 1, 1)]
     assert g.edges.groupBy("src").count()._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(src") == 1
+
+
+@pytest.mark.parametrize(("few", "bins"), [(20_000, 4096), (3, 4)])
+def test_packed_loops_give_what_single_supersteps_give(spark, sf, monkeypatch, few, bins):
+    from graphloom.operators import ranges, supersteps
+    from graphloom.session import checkpointed
+
+    monkeypatch.setattr(supersteps, "PART_EDGES", 2000)
+    monkeypatch.setattr(ranges, "FEW", few)
+    monkeypatch.setattr(ranges, "BINS", bins)
+    g = tables.supplier_part(spark, sf).checkpointed()
+    rows, tracker = (lambda df: sorted(map(tuple, df.collect()))), spark.sparkContext.statusTracker()
+
+    def counted(name, f):
+        spark.sparkContext.setJobGroup(f"{name}-{few}", name)
+        out = rows(f())
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return out, len(tracker.getJobIdsForGroup(f"{name}-{few}"))
+
+    def clustered():
+        c = clustering.singletons(g)
+        for chunk in range(2):
+            w = clustering.cluster_weights(g, c)
+            m = checkpointed(clustering.propagation(g, c, w, 13, (chunk, 2, 0)))
+            c = checkpointed(clustering.move(c, moves.admit(m, w.selectExpr("cluster as to", "13 - cluster_weight as room"))))
+        return c
+
+    old, many = counted("single", clustered)
+    new, fewer = counted("packed", lambda: clustering.LabelPropagation(rounds=1, two_hop="off", isolated="keep")(g, 13))
+    assert new == old and 0 < 2 * fewer < many
+
+    lim = metrics.limits(spark, 4, g.total_node_weight(), epsilon=0.1, min_epsilon=0.08)
+    skewed = checkpointed(g.nodes.selectExpr("id", "cast(if(id % 3 = 0, id % 4, 0) as int) as block"))
+    once = refinement.moved(skewed, checkpointed(refinement.overload_moves(g, skewed, lim, 4, 5)))
+    assert rows(refinement.balance_overload(g, skewed, lim, 4, rounds=1, seed=5)) == rows(once)
+    even = checkpointed(g.nodes.selectExpr("id", "cast(id % 4 as int) as block"))
+    once = refinement.moved(even, checkpointed(refinement.lp_refine_round(g, even, lim, 4, (0, 1, 3))))
+    assert rows(refinement.lp_refine(g, even, lim, 4, rounds=1, chunks=1, seed=3)) == rows(once)
