@@ -322,6 +322,16 @@ def test_compressed_rows_and_binary_form_never_reach_the_driver(spark, tmp_path,
             assert sorted(map(tuple, h.nodes.collect())) == (nodes if v is not None else [(i, 1) for i in range(n)])
 
 
+def test_pairs_are_counted_where_they_are_shuffled_to(spark, sf):
+    """What a reading task holds must not depend on the rows of a file's row group."""
+    plan = tables.supplier_part(spark, sf).edges._jdf.queryExecution().executedPlan().toString().splitlines()
+    counts = [i for i, line in enumerate(plan) if "partial_count" in line]
+    assert counts
+    for i in counts:
+        below = next(line for line in plan[i + 1 :] if "Exchange" in line or "FileScan" in line)
+        assert "Exchange hashpartitioning" in below
+
+
 def test_shuffles_are_sized_by_the_input(spark, sf, monkeypatch):
     from graphloom import session
     from graphloom.sources import tables
