@@ -201,6 +201,20 @@ def test_deep_scheme_splits_blocks_on_frames_and_survives_a_stall(spark):
         assert p.complete and p.used == 4 and p.heaviest <= 1.1 * 144 and p.edge_cut < metrics.edge_cut(g, g.nodes.selectExpr("id", "cast(id % 4 as int) as block")).first()[0]
 
 
+def test_levels_get_small_where_clustering_stalls(spark):
+    """So that the first partition comes from bisection at any size, not from ranges of ids."""
+    g = generators.grid(spark, 24, 24).checkpointed()
+    c = Context(local_edges=100).override("coarsening.contraction_limit", 40).override("coarsening.rounds", 0).override("coarsening.two_hop", TwoHop.OFF)
+    halves = g.nodes.selectExpr("id", "id % 2 as community")
+    levels = schemes.coarsen_frame(g, c, 4, 0.1, 0, halves)
+    coarsest, _, communities = levels[-1]
+    assert coarsest.m() <= 400 and coarsest.nodes.groupBy().sum("weight").first()[0] == 576 and coarsest.max_node_weight() <= 576 // 4
+    for (fine, _, above), (_, mapping, below) in itertools.pairwise(levels):
+        assert mapping.count() == fine.n()
+        both = mapping.join(above, "id").join(below.selectExpr("id as coarse_id", "community as c"), "coarse_id")
+        assert both.filter("community <> c").isEmpty()
+
+
 def test_builders(spark, tmp_path):
     from graphloom.sources.builder import GraphBuilder, callbacks_of, from_callbacks
 
